@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
@@ -38,15 +46,6 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def with_columns(batch: pa.RecordBatch, schema: pa.Schema, **changed: list) -> pa.RecordBatch:
-    """The batch with some columns replaced."""
-    arrays = [
-        pa.array(changed[f.name], f.type) if f.name in changed else batch.column(batch.schema.get_field_index(f.name))
-        for f in schema
-    ]
-    return pa.RecordBatch.from_arrays(arrays, schema=schema)
-
-
 def map_texts(
     df: DataFrame, columns: list[str], rows: Callable[..., tuple], schema: str, context: Callable[[], object] | None = None
 ) -> DataFrame:
