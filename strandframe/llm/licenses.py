@@ -65,7 +65,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     n_lines that match; whole_text, whether the whole text does; licenses, all names that match, sorted."""
     bigrams = {name: _bigrams(text) for name, text in sorted((templates or TEMPLATES).items())}
     sizes = {name: len(b) for name, b in bigrams.items()}
-    least, most = threshold / (2 - threshold), (2 - threshold) / threshold
+    # a little wide, for a bound may be met exactly
+    least, most = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     low = min(sizes.values()) * least
     known = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in bigrams.items()))
 
