@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..kernels.text import ratio
 
@@ -36,7 +37,7 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def string_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 * 2 * LCS / (len a + len b); 100 for two empty strings, null if either is null."""
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -96,6 +96,7 @@ def assemble(strings: DataFrame, keys: Sequence[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("qs", "l")
     reach = F.max(F.col("qs") + F.col("l")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     islands = strings.withColumn("begins", F.when(reach <= F.col("qs"), 1).otherwise(0)).withColumn("island", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    tag = [F.min_by("htag", F.struct("qs", "l")).alias("htag")] if "htag" in strings.columns else []
+    tagged = "htag" in strings.columns and "htag" not in keys
+    tag = [F.min_by("htag", F.struct("qs", "l")).alias("htag")] if tagged else []
     merged = islands.groupBy(*keys, "island").agg(F.min("qs").alias("qs"), F.max(F.col("qs") + F.col("l")).alias("end"), *tag)
     return merged.select(*keys, "qs", (F.col("end") - F.col("qs")).alias("l"), *(["htag"] if tag else []))

@@ -1,96 +1,152 @@
 """Order-dependent greedy scans, each a fold over the rows of a group in a total order.
 
-A group is one Arrow table in one task. Groups are contigs, reads or clusters; where a contig is large, cut_at_gaps()
-first deals it into parts that no fold can connect.
+Rows are dealt by group and sorted by Spark; a task streams over its groups, so that many small ones cost little and
+memory is that of one group. Groups are reads, clusters or contigs; where a contig is large, cut_at_gaps() first deals
+it into parts that no fold can connect.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A fold takes the values of its columns and gives the rows it keeps, by index (None: all), and the new columns.
+Fold = Callable[..., tuple[list[int] | None, list[list]]]
+
 
 def cut_at_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, slack: int, out: str = "part") -> DataFrame:
-    """Numbers parts of each key between which at least slack positions are free."""
+    """Numbers parts of each key between which more than slack positions are free."""
     w = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     begins = F.when(F.col(start) - reach > slack, 1).otherwise(0)
     return df.withColumn("part_begins", begins).withColumn(out, F.sum("part_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("part_begins")
 
 
-def _grouped(df: DataFrame, keys: Sequence[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy(*keys).applyInPandas(fold, schema)
+def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], fold: Fold, added: Sequence[tuple[str, str]] = (), replaced: Sequence[str] = ()) -> DataFrame:
+    """Applies fold to the columns of each group. What it returns goes first into the replaced columns, then into the
+    added ones (name, type)."""
+    names = df.columns
+    at_keys, at_columns = [names.index(k) for k in keys], [names.index(c) for c in columns]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"`{n}` {t}" for n, t in added)])
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+    def finish(held: list[pa.RecordBatch]) -> pa.Table:
+        """All whole groups in the held batches, folded."""
+        table = pa.Table.from_batches(held)
+        group_keys = list(zip(*(table.column(i).to_pylist() for i in at_keys)))
+        values = [table.column(i).to_pylist() for i in at_columns]
+        rows: list[int] = []
+        out: list[list] = [[] for _ in range(len(replaced) + len(added))]
+        start = 0
+        for end in range(1, len(group_keys) + 1):
+            if end < len(group_keys) and group_keys[end] == group_keys[start]:
+                continue
+            kept, new = fold(*(v[start:end] for v in values))
+            rows.extend(range(start, end) if kept is None else (start + k for k in kept))
+            for o, n in zip(out, new):
+                o.extend(n)
+            start = end
+        result = table.take(pa.array(rows, pa.int64()))
+        for name, values_ in zip(replaced, out):
+            i = names.index(name)
+            result = result.set_column(i, result.schema.field(i), pa.chunked_array([pa.array(values_, result.schema.field(i).type)]))
+        for (name, kind), values_ in zip(added, out[len(replaced) :]):
+            result = result.append_column(name, pa.chunked_array([pa.array(values_, kinds[kind])]))
+        return result
+
+    def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # the last group of what has come may go on in the next batch
+            last = tuple(batch.column(i)[batch.num_rows - 1].as_py() for i in at_keys)
+            cut = batch.num_rows
+            while cut and tuple(batch.column(i)[cut - 1].as_py() for i in at_keys) == last:
+                cut -= 1
+            if cut or (held and tuple(held[-1].column(i)[held[-1].num_rows - 1].as_py() for i in at_keys) != last):
+                whole = [*held, *([batch.slice(0, cut)] if cut else [])]
+                if whole:
+                    yield from finish(whole).to_batches()
+                held = [batch.slice(cut)]
+            else:
+                held.append(batch)
+        if held:
+            yield from finish(held).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
+
+
+def window_numbers(starts: Sequence[int], ends: Sequence[int], distances: Sequence[int]) -> list[int]:
+    out, anchor, number = [], None, -1
+    for at, end, reach in zip(starts, ends, distances):
+        if anchor is None or at - anchor > reach:
+            anchor, number = end, number + 1
+        out.append(number)
+    return out
 
 
-def anchored_windows(df: DataFrame, keys: Sequence[str], start: str, order: Sequence[str], distance: str, out: str = "window") -> DataFrame:
-    """A new window begins where start lies further than distance (a column, the same in all rows) from the start of the
+def anchored_windows(df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str], distance: str, out: str = "window") -> DataFrame:
+    """A new window begins where start lies further than distance (a column, the same in all rows) from the end of the
     window's first row: long chains of overlapping rows are cut."""
+    return fold_groups(df, keys, order, [start, end, distance], lambda s, e, d: (None, [window_numbers(s, e, d)]), [(out, "long")])
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        windows, anchor, number = [], None, -1
-        for at, reach in zip(rows[start].tolist(), rows[distance].tolist()):
-            if anchor is None or at - anchor > reach:
-                anchor, number = at, number + 1
-            windows.append(number)
-        return rows.assign(**{out: np.array(windows, np.int64)})
 
-    return _grouped(df, keys, fold, f"{_ddl(df)}, {out} long")
+def merged_into_first(starts: Sequence[int], ends: Sequence[int]) -> list[list[int]]:
+    """Index of the first row, start, end and number of rows of each merged interval."""
+    kept: list[list[int]] = []
+    for i, (s, e) in enumerate(zip(starts, ends)):
+        for other in kept:
+            if s <= other[2] and other[1] <= e:
+                other[1], other[2], other[3] = min(s, other[1]), max(e, other[2]), other[3] + 1
+                break
+        else:
+            kept.append([i, s, e, 1])
+    return kept
 
 
 def merge_into_first(df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str]) -> DataFrame:
-    """Each interval is merged into the first one so far that it overlaps (closed), in one pass; merged ones may overlap."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
-        kept: list[list] = []
-        for i, (s, e) in enumerate(zip(rows[start].tolist(), rows[end].tolist())):
-            for other in kept:
-                if s <= other[2] and other[1] <= e:
-                    other[1], other[2], other[3] = min(s, other[1]), max(e, other[2]), other[3] + 1
-                    break
-            else:
-                kept.append([i, s, e, 1])
-        out = rows.iloc[[k[0] for k in kept]].copy()
-        out[start], out[end], out["n_merged"] = [k[1] for k in kept], [k[2] for k in kept], [k[3] for k in kept]
-        return out
+    """Each interval is merged into the first one so far that it overlaps (closed), in one pass; merged ones may overlap.
+    The other columns are those of the first; n_merged counts."""
+
+    def fold(starts: list[int], ends: list[int]) -> tuple[list[int], list[list]]:
+        kept = merged_into_first(starts, ends)
+        return [k[0] for k in kept], [[k[i] for k in kept] for i in (1, 2, 3)]
 
-    return _grouped(df, keys, fold, f"{_ddl(df)}, n_merged long")
+    return fold_groups(df, keys, order, [start, end], fold, [("n_merged", "long")], [start, end])
 
 
 def proximity_clusters(df: DataFrame, keys: Sequence[str], position: str, weight: str, length: str, order: Sequence[str], reach: int = 1000) -> DataFrame:
     """In order, every centre so far within reach takes the row in (summed weight, largest length); a row that none
-    takes becomes a centre."""
+    takes becomes a centre. Order by position keeps the centres that are still in reach few."""
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable").reset_index(drop=True)
-        at, w, n = (rows[c].to_numpy() for c in (position, weight, length))
+    def fold(at: list[int], w: list[int], n: list[int]) -> tuple[list[int], list[list]]:
         centres: list[list] = []
-        for i in range(len(rows)):
+        for i in range(len(at)):
             near = [c for c in centres if abs(at[c[0]] - at[i]) <= reach]
             for c in near:
                 c[1], c[2] = c[1] + w[i], max(c[2], n[i])
             if not near:
                 centres.append([i, w[i], n[i]])
-        out = rows.iloc[[c[0] for c in centres]].copy()
-        out[weight], out[length] = [c[1] for c in centres], [c[2] for c in centres]
-        return out
+        return [c[0] for c in centres], [[c[1] for c in centres], [c[2] for c in centres]]
+
+    return fold_groups(df, keys, order, [position, weight, length], fold, (), [weight, length])
+
 
-    return _grouped(df, keys, fold, _ddl(df))
+def similar(a: int, b: int, ratio: float) -> bool:
+    return max(a, b) == 0 or min(a, b) / max(a, b) >= ratio
 
 
-def length_groups(lengths: list[int], ratio: float) -> list[int]:
+def length_groups(lengths: Sequence[int], ratio: float) -> list[int]:
     """The group of each length, in order: the first whose integer mean is within ratio, else a new one."""
     groups: list[list[int]] = []  # sum, count
     out = []
     for n in lengths:
         for k, (total, count) in enumerate(groups):
-            mean = total // count
-            if max(mean, n) == 0 or min(mean, n) / max(mean, n) >= ratio:
+            if similar(total // count, n, ratio):
                 groups[k] = [total + n, count + 1]
                 out.append(k)
                 break
@@ -102,13 +158,4 @@ def length_groups(lengths: list[int], ratio: float) -> list[int]:
 
 def greedy_length_split(df: DataFrame, keys: Sequence[str], length: str, order: Sequence[str], ratio: float = 0.97, out: str = "sub_id") -> DataFrame:
     """Adds the number of the sub-cluster that each row joins."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order), kind="stable")
-        return rows.assign(**{out: np.array(length_groups(rows[length].tolist(), ratio), np.int64)})
-
-    return _grouped(df, keys, fold, f"{_ddl(df)}, {out} long")
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return fold_groups(df, keys, order, [length], lambda n: (None, [length_groups(n, ratio)]), [(out, "long")])

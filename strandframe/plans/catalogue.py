@@ -208,8 +208,8 @@ def genotype_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
 with recursive x as (select user_id, event_id, cast(floor(epoch_us(ts) / 60000000) as bigint) as s, cast(floor(epoch_us(ts) / 60000000) + floor(value * 10) as bigint) as e from events),
 d as (select cast(floor(1.1::double * max(e - s)) as bigint) as dist from x),
 n as (select x.*, d.dist, row_number() over (partition by user_id order by s, e, event_id) as k from x, d),
-f as (select user_id, event_id, k, s, dist, s as anchor, cast(0 as bigint) as win from n where k = 1
-  union all select n.user_id, n.event_id, n.k, n.s, n.dist, case when n.s - f.anchor > n.dist then n.s else f.anchor end, f.win + (n.s - f.anchor > n.dist)::bigint
+f as (select user_id, event_id, k, s, dist, e as anchor, cast(0 as bigint) as win from n where k = 1
+  union all select n.user_id, n.event_id, n.k, n.s, n.dist, case when n.s - f.anchor > n.dist then n.e else f.anchor end, f.win + (n.s - f.anchor > n.dist)::bigint
   from f join n on n.user_id = f.user_id and n.k = f.k + 1)
 select user_id, event_id, win as "window" from f""")
 def anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +217,7 @@ def anchored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "events").select("user_id", "event_id", s.alias("s"), (s + F.floor(F.col("value") * 10)).alias("e"))
     distance = spans.agg(F.floor(F.max(F.col("e") - F.col("s")) * F.lit(1.1)).alias("dist"))
     rows = spans.crossJoin(F.broadcast(distance))  # one row
-    return folds.anchored_windows(rows, ["user_id"], "s", ["s", "e", "event_id"], "dist").select("user_id", "event_id", "window")
+    return folds.anchored_windows(rows, ["user_id"], "s", "e", ["s", "e", "event_id"], "dist").select("user_id", "event_id", "window")
 
 
 @query("""
