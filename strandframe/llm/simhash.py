@@ -118,7 +118,8 @@ def near_duplicates(prints: DataFrame) -> DataFrame:
     component = member.groupBy("root").agg(F.min("least").alias("component_least"))
     linked = member.join(component, "root").select(F.col("node").alias("fingerprint"), "component_least")
     labels = distinct.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_least", "least").alias("component_id"))
-    return prints.join(labels, "fingerprint", "left")
+    # written first, so that both sides are dealt by this join alone and Spark can split the copies of one fingerprint
+    return prints.join(cut(labels), "fingerprint", "left")
 
 
 def components_of(docs: DataFrame) -> DataFrame:
