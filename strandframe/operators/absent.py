@@ -29,17 +29,19 @@ def minimal_absent(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[kept], ends[kept] - starts[kept] + 1
 
 
-def shards(references: DataFrame, column: str, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
-    """The reference in shards of bounded size, built one at a time. Longer sequences are an error: cut them first,
-    with an overlap of the longest read."""
+def shards(references: DataFrame, column: str, longest: int, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
+    """The reference in shards of bounded size, built one at a time. Sequences are cut into pieces that overlap by the
+    longest read, so that whatever a read may hold of a sequence lies within one piece."""
+    size = max(shard_chars // 4, 2 * longest, 16)
+    step = size - longest
+    starts = F.sequence(F.lit(0), F.greatest(F.length("s") - longest - 1, F.lit(0)), F.lit(step))
     rows = references.where(F.length(column) > 0).select(F.col(column).alias("s")).distinct()
-    total = rows.agg(F.coalesce(F.sum(F.length("s")), F.lit(0)), F.coalesce(F.max(F.length("s")), F.lit(0))).first()
-    if total[1] > shard_chars:
-        raise ValueError(f"a sequence of {total[1]} characters is longer than a shard")
-    n = max(1, -(-2 * total[0] // shard_chars))
+    rows = rows.select(F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i + 1, F.lit(size)))).alias("s")).distinct()
+    total = rows.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]
+    n = max(1, -(-2 * total // shard_chars))
     for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("s"), F.lit(n)) == k).collect() if n > 1 else rows.collect()
-        yield Shard(sorted(r["s"] for r in part))
+        part = rows.where(F.pmod(F.xxhash64("s"), F.lit(n)) == k) if n > 1 else rows
+        yield Shard(sorted(r["s"] for r in part.collect()))
 
 
 def specific_strings(reads: DataFrame, references: DataFrame, keys: Sequence[str], seq: str, ref_seq: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -52,7 +54,8 @@ def specific_strings(reads: DataFrame, references: DataFrame, keys: Sequence[str
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     current = reads.select(*keys, F.col(seq).cast("string").alias("seq"), F.lit(None).cast("array<int>").alias("matched"))
     n_keys = len(keys)
-    for shard in shards(references, ref_seq, shard_chars):
+    longest = reads.agg(F.coalesce(F.max(F.length(seq)), F.lit(0))).first()[0]
+    for shard in shards(references, ref_seq, longest, shard_chars):
 
         def extend(stream: Iterable[pa.RecordBatch], shard: Shard = shard) -> Iterator[pa.RecordBatch]:
             for batch in stream:

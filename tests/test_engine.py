@@ -209,7 +209,7 @@ def brute_absent(read, refs):
 @pytest.mark.parametrize("shard_chars", [absent.SHARD_CHARS, 40])
 def test_specific_strings(spark, shard_chars):
     rnd = random.Random(5)
-    refs = ["".join(rnd.choice("ABC") for _ in range(rnd.randint(0, 30))) for _ in range(6)]
+    refs = ["".join(rnd.choice("ABC") for _ in range(rnd.randint(0, 30))) for _ in range(5)] + ["".join(rnd.choice("AB") for _ in range(200))]
     reads = [(i, "".join(rnd.choice("ABCé") for _ in range(rnd.randint(0, 14)))) for i in range(40)] + [(99, None)]
     found = absent.specific_strings(spark.createDataFrame(reads, "k long, seq string").repartition(3), spark.createDataFrame([(r,) for r in refs], "s string"), ["k"], "seq", "s", shard_chars)
     got = defaultdict(list)
