@@ -100,3 +100,13 @@ def aligned_pairs(ops: Column, start: Column) -> Column:
         return F.when(moves_q | moves_r, F.transform(places, lambda k: F.struct(F.when(moves_q, o["q"] + k).alias("q"), F.when(moves_r, o["r"] + k).alias("r")))).otherwise(F.array().cast("array<struct<q:int,r:int>>"))
 
     return F.flatten(F.transform(with_offsets(ops, start), pairs))
+
+
+def add_op(ops: Column, length: Column, op: Column) -> Column:
+    """Appends an operation; one of the last one's kind joins it."""
+    return merge_runs(F.concat(ops, F.array(F.struct(length.cast("int").alias("len"), op.alias("op")))))
+
+
+def add_front(ops: Column) -> Column:
+    """Puts a match of one base in front."""
+    return merge_runs(F.concat(F.array(F.struct(F.lit(1).alias("len"), F.lit("M").alias("op"))), ops))

@@ -29,6 +29,18 @@ def minimal_absent(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[kept], ends[kept] - starts[kept] + 1
 
 
+def disjoint_absent(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the minimal absent substrings those that a scan from the right takes if each must end before the last begins."""
+    starts, sizes = minimal_absent(lengths)
+    kept, begin = [], len(lengths)
+    for i in range(len(starts) - 1, -1, -1):
+        if starts[i] + sizes[i] <= begin:
+            kept.append(i)
+            begin = starts[i]
+    kept.reverse()
+    return starts[kept], sizes[kept]
+
+
 def shards(references: DataFrame, column: str, longest: int, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
     """The reference in shards of bounded size, built one at a time. Sequences are cut into pieces that overlap by the
     longest read, so that whatever a read may hold of a sequence lies within one piece."""

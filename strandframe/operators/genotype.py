@@ -39,3 +39,21 @@ def posteriors(reads: DataFrame, keys: Sequence[str], support: str = "support",
     weights = {g: F.exp(F.col(f"s{g}") - top) for g in GENOTYPES}
     total = sum(weights.values())
     return scores.select(*keys, *((weights[g] / total).alias(f"p{g}") for g in GENOTYPES))
+
+
+def genotype_calls(svs: DataFrame) -> DataFrame:
+    """Calls with posteriors and the likeliest genotype (gt, gq) from their vectors of reads, 'support:haplotype' joined by
+    '-'. Each call is genotyped by itself, in its row: nothing is shuffled."""
+    reads = F.transform(F.filter(F.split(F.coalesce("rvec", F.lit("")), "-"), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).cast("int").alias("support"), F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("hap")))
+    out = svs.withColumn("genotype_reads", reads)
+
+    def score(g: str) -> Column:
+        return F.aggregate("genotype_reads", F.lit(0.0), lambda t, r: t + F.log(read_likelihood(r["support"], r["hap"], g))) + F.log(F.lit(PRIOR[g]))
+
+    out = out.select("*", *(score(g).alias(f"genotype_{g}") for g in GENOTYPES))
+    top = F.greatest(*(F.col(f"genotype_{g}") for g in GENOTYPES))
+    weights = {g: F.exp(F.col(f"genotype_{g}") - top) for g in GENOTYPES}
+    total = sum(weights.values())
+    best = F.array_max(F.array(*(F.struct((weights[g] / total).alias("p"), F.lit("0/0" if g == "00" else "1/1" if g == "11" else "0/1").alias("gt")) for g in GENOTYPES)))
+    quality = F.least(F.lit(100), F.floor(-10 * F.log10(F.greatest(1 - best["p"], F.lit(1e-10))))).cast("int")
+    return out.select(*svs.columns, *((weights[g] / total).alias(f"p{g}") for g in GENOTYPES), best["gt"].alias("gt"), quality.alias("gq"))

@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, sequence
-from ..operators import absent, folds, genotype, relational
+from ..kernels import align, poa
+from ..operators import absent, chain, folds, genotype, relational
+from ..sources import strings_text
+from . import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -308,3 +311,66 @@ def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def string_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(Window.partitionBy(F.col("item_id") % 16).orderBy("item_id")).alias("other"))
     return items.select("item_id", sequence.string_ratio("text", "other").alias("ratio"))
+
+
+@query("""
+select chrom, s, ref, alt, w, cluster_id, sub_id from (select l_suppkey as chrom, l_partkey as s, l_returnflag as ref, l_linestatus as alt, l_quantity as w, l_orderkey as cluster_id, l_linenumber as sub_id,
+  row_number() over (partition by l_suppkey, l_partkey, l_returnflag, l_linestatus order by l_quantity desc, l_orderkey, l_linenumber) as k from lineitem) where k = 1""")
+def dedup_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"l_suppkey": "chrom", "l_partkey": "s", "l_returnflag": "ref", "l_linestatus": "alt", "l_quantity": "w", "l_orderkey": "cluster_id", "l_linenumber": "sub_id"}
+    return chain.dedup_variants(table(spark, sf_dir, "lineitem").select(*(F.col(c).alias(n) for c, n in names.items())))
+
+
+@query()
+def chain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    allele = F.repeat(F.col("l_returnflag"), F.col("l_quantity").cast("int"))
+    variants = lines.select(F.col("l_suppkey").alias("chrom"), F.when(F.col("l_linestatus") == "O", "INS").otherwise("DEL").alias("kind"), (F.col("l_partkey") * 10).alias("s"), (F.col("l_partkey") * 10 + 1).alias("e"), F.col("l_quantity").cast("int").alias("l"), F.col("l_linenumber").alias("w"), allele.alias("ref"), allele.alias("alt"), F.col("l_orderkey").alias("cluster_id"), F.col("l_linenumber").alias("sub_id"))
+    return chain.chain_filter(chain.dedup_variants(variants))
+
+
+@query("""
+with x as (select l_suppkey, l_orderkey, l_partkey as s, l_partkey + cast(l_quantity as bigint) as e from lineitem),
+b as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) as reach from x),
+i as (select *, sum(case when s > reach then 1 else 0 end) over (partition by l_suppkey order by s, e rows unbounded preceding) as island from b)
+select l_suppkey, min(s) as s, max(e) as e, cast(count(distinct l_orderkey) as bigint) as reads from i group by l_suppkey, island having count(distinct l_orderkey) >= 2""")
+def cluster_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("e"))
+    islands = relational.overlap_islands(spans, ["l_suppkey"], "s", "e")
+    return islands.groupBy("l_suppkey", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.countDistinct("l_orderkey").alias("reads")).where("reads >= 2").drop("island")
+
+
+@query("""
+select qname, value from (select cast(user_id as varchar) as qname, case when row_number() over w = 1 then cast(user_id as varchar) else '*' end || chr(9) || event_id || chr(9) || (event_id % 50 + 1) || chr(9) || (event_id % 3) || chr(9) as value
+from events window w as (partition by user_id order by event_id))""")
+def string_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strings = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("qname"), F.col("event_id").alias("qs"), (F.col("event_id") % 50 + 1).alias("l"), (F.col("event_id") % 3).alias("htag"))
+    return strings_text.string_lines(strings).drop("k")
+
+
+@query("""
+select cast(user_id as varchar) as qname, cast(event_id as integer) as qs, cast(event_id % 50 + 1 as integer) as l, cast(event_id % 3 as integer) as htag from events""")
+def parsed_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = string_lines(spark, sf_dir).select(F.row_number().over(Window.orderBy("qname", F.when(F.col("value").startswith("*"), 1).otherwise(0), "value")).alias("ord"), "value")
+    return strings_text.parse_strings(lines)
+
+
+@query("select item_id, text as consensus from benchmark")
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two copies of a text and one that lacks some letters."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return stages.map_rows(items, ["item_id", "text"], lambda i, t: [(i, poa.consensus([t, t.replace("th", ""), t]))], "item_id long, consensus string")
+
+
+@query("select item_id, 'D' as op, cast(10 as integer) as len from benchmark where length(text) > 40")
+def global_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text, its letters taken for bases, against itself without ten from the middle: the one gap."""
+    items = table(spark, sf_dir, "benchmark").where(F.length("text") > 40).select("item_id", "text")
+
+    def gaps(item: int, text: str) -> list[tuple]:
+        seq = "".join("ACGT"[ord(c) % 4] for c in text)
+        middle = len(seq) // 2
+        _, ops = align.global_align(seq, seq[:middle] + seq[middle + 10 :])
+        return [(item, op, n) for n, op in ops if op != "M"]
+
+    return stages.map_rows(items, ["item_id", "text"], gaps, "item_id long, op string, len int")

@@ -304,3 +304,17 @@ def test_catalogue(spark, name):
     sql = con.execute(catalogue.ORACLE_SQL[name])
     assert sorted(frame.columns) == sorted(d[0] for d in sql.description)
     assert rows(frame.columns, [tuple(r) for r in frame.collect()]) == rows([d[0] for d in sql.description], sql.fetchall())
+
+
+def test_genotype_calls(spark):
+    svs = spark.createDataFrame([("a", "1:1-1:1-1:2-1:2"), ("b", "0:1-0:2-0:3"), ("c", "1:1-1:1-1:1-0:2-0:2-0:2"), ("d", None)], "id string, rvec string")
+    got = {r["id"]: r["gt"] for r in genotype.genotype_calls(svs).collect()}
+    assert got == {"a": "1/1", "b": "0/0", "c": "0/1", "d": "0/0"}
+
+
+def test_disjoint_and_added_ops(spark):
+    starts, sizes = absent.disjoint_absent(np.array([2, 2, 1, 4, 1, 1, 0]))
+    assert all(a + n <= b for a, n, b in zip(starts, sizes, starts[1:])) and len(starts)
+    ops = cigar.parse_cigar(F.lit("3M2I"))
+    row = spark.range(1).select(cigar.cigar_string(cigar.add_op(ops, F.lit(4), F.lit("I"))), cigar.cigar_string(cigar.add_front(ops))).first()
+    assert tuple(row) == ("3M6I", "4M2I")
