@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from .util import map_texts
 
-#: Bounds of what a worker process keeps: whole pieces, and steps of the transducer.
-MAX_PIECES = 800_000
-MAX_STEPS = 1_500_000
+#: Bounds of what a worker process keeps: whole pieces, steps of the transducer, and facts about pairs of tokens.
+MAX_PIECES = 400_000
+MAX_STEPS = 600_000
+MAX_PAIRS = 600_000
 BLOCK_PIECES = 1 << 16
 #: Misses after which a state gets further steps; longer pieces always get them, which bounds the lookahead.
 OFTEN, SHORT_PIECE = 20, 256
@@ -125,6 +126,8 @@ class Transducer:
                     until, a = a, undo_a[1]
                 else:
                     until, b = b + 1, undo_b[0]
+            if len(self.pair_known) >= MAX_PAIRS:
+                self.pair_known.clear()
             self.pair_known[left, right] = known
         return known
 
@@ -136,6 +139,8 @@ class Transducer:
         known = self.open_known.get((left, node))
         if known is None:
             known = any((self.ends[n] is not None and self.follows(left, self.ends[n])) or self.open(left, n) for n in nodes)
+            if len(self.open_known) >= MAX_PAIRS:
+                self.open_known.clear()
             self.open_known[left, node] = known
         return known
 
