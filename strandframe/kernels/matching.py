@@ -33,8 +33,12 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     return order
 
 
+#: Entries of a table that leads from the first characters to an interval of suffixes.
+TABLE = 1 << 22
+
+
 class Shard:
-    """A piece of the reference that can be searched: its codes and suffix array."""
+    """A piece of the reference that can be searched: its codes, suffix array, and tables of the first characters."""
 
     def __init__(self, sequences: list[str]):
         parts: list[np.ndarray] = []
@@ -42,31 +46,50 @@ class Shard:
             parts += [encode(s), np.zeros(1, np.int64)]
         self.codes = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         self.order = suffix_array(self.codes)
-        # columns of the first characters of the suffixes speed up the first steps
-        self.alphabet, self.begin = np.unique(self.codes[self.order], return_index=True)
-        self.finish = np.append(self.begin[1:], len(self.codes))
+        self.alphabet = np.unique(self.codes)
+        n, size = len(self.codes), len(self.alphabet) + 1
+        # characters as numbers from 1; 0 stands beyond the end
+        self.letters = np.searchsorted(self.alphabet, self.codes) + 1
+        padded = np.append(self.letters, np.zeros(4, np.int64))
+        self.tables: list[np.ndarray] = []
+        grams = np.zeros(n, np.int64)
+        while len(self.tables) < 4 and size ** (len(self.tables) + 1) <= max(TABLE, size):
+            grams = grams * size + padded[self.order + len(self.tables)]
+            self.tables.append(np.searchsorted(grams, np.arange(size ** (len(self.tables) + 1) + 1)).astype(np.int32))
 
     def longest_matches(self, text: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """For every position of text, the length of the longest substring from there, not beyond its end, that the
-        shard holds. Intervals of suffixes narrow by a character a round, all positions together."""
+        shard holds. The first characters lead to an interval of suffixes by a table; then intervals narrow by a
+        character a round, all positions together."""
         n = len(text)
         out = np.zeros(n, np.int64)
         if not len(self.codes) or not n:
             return out
-        k = np.minimum(np.searchsorted(self.alphabet, text), len(self.alphabet) - 1)
-        live = np.flatnonzero((self.alphabet[k] == text) & (text != 0))
-        low, high = self.begin[k[live]], self.finish[k[live]]
-        depth = 1
-        size = len(self.codes)
+        size = len(self.alphabet) + 1
+        k = np.minimum(np.searchsorted(self.alphabet, text), size - 2)
+        letters = np.append(np.where((self.alphabet[k] == text) & (text != 0), k + 1, 0), np.zeros(4, np.int64))
+        low, high = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        grams, fits = np.zeros(n, np.int64), np.ones(n, bool)
+        room = ends - np.arange(n)
+        for depth, table in enumerate(self.tables, 1):
+            letter = letters[depth - 1 : depth - 1 + n]
+            grams = grams * size + letter
+            a, b = table[grams], table[grams + 1]
+            fits &= (letter > 0) & (room >= depth) & (a < b)
+            out[fits], low[fits], high[fits] = depth, a[fits], b[fits]
+        depth = len(self.tables)
+        live = np.flatnonzero(fits)
+        low, high = low[live], high[live]
+        n_codes = len(self.codes)
         while len(live):
-            out[live] = depth
             more = live + depth < ends[live]
             live, low, high = live[more], low[more], high[more]
             wanted = text[live + depth]
-            low, high = self._bound(low, high, wanted, depth, size), self._bound(low, high, wanted + 1, depth, size)
+            low, high = self._bound(low, high, wanted, depth, n_codes), self._bound(low, high, wanted + 1, depth, n_codes)
             some = low < high
             live, low, high = live[some], low[some], high[some]
             depth += 1
+            out[live] = depth
         return out
 
     def _bound(self, low: np.ndarray, high: np.ndarray, value: np.ndarray, depth: int, size: int) -> np.ndarray:

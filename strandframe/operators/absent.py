@@ -6,7 +6,7 @@ a window query: [b, e(b)] is told if the next position that has an absent substr
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,38 +64,45 @@ def specific_strings(reads: DataFrame, references: DataFrame, keys: Sequence[str
     """
     kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    current = reads.select(*keys, F.col(seq).cast("string").alias("seq"), F.lit(None).cast("array<int>").alias("matched"))
     n_keys = len(keys)
     longest = reads.agg(F.coalesce(F.max(F.length(seq)), F.lit(0))).first()[0]
-    for shard in shards(references, ref_seq, longest, shard_chars):
+    current = reads.select(*keys, F.col(seq).cast("string").alias("seq"), F.lit(None).cast("array<int>").alias("matched"))
 
-        def extend(stream: Iterable[pa.RecordBatch], shard: Shard = shard) -> Iterator[pa.RecordBatch]:
+    def matches(part: pa.RecordBatch, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of the texts laid end to end, and the longest matches so far."""
+        texts = [encode(t or "") for t in part.column(n_keys).to_pylist()]
+        sizes = np.array([len(t) for t in texts])
+        ends = np.cumsum(sizes)
+        lengths = shard.longest_matches(np.concatenate(texts), np.repeat(ends, sizes))
+        before = part.column(n_keys + 1)
+        if before.null_count < len(before):
+            lengths = np.maximum(lengths, before.flatten().to_numpy())
+        return ends, lengths
+
+    def stage(shard: Shard, last: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in stream:
                 for start in range(0, batch.num_rows, 256):
                     part = batch.slice(start, 256)
-                    texts = [encode(t or "") for t in part.column(n_keys).to_pylist()]
-                    sizes = np.array([len(t) for t in texts])
-                    ends = np.cumsum(sizes)
-                    text = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-                    lengths = shard.longest_matches(text, np.repeat(ends, sizes))
-                    before = part.column(n_keys + 1)
-                    if before.null_count < len(before):
-                        lengths = np.maximum(lengths, np.concatenate([np.array(x, np.int64) for x in before.to_pylist()]))
-                    offsets = pa.array(np.append(0, ends).astype(np.int32))
-                    matched = pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([*part.columns[: n_keys + 1], matched], [*keys, "seq", "matched"])
-
-        current = current.mapInArrow(extend, f"{head}, seq string, matched array<int>")
-
-    def told(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            found = [minimal_absent(np.array(m or [], np.int64)) for m in batch.column(n_keys + 1).to_pylist()]
-            rows = np.repeat(np.arange(len(found)), [len(s) for s, _ in found])
-            columns = [batch.column(i).take(pa.array(rows)) for i in range(n_keys)]
-            numbers = [pa.array(np.concatenate([f[i] for f in found]).astype(np.int64) if found else [], pa.int64()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*columns, *numbers], [*keys, "qs", "l"])
-
-    return current.mapInArrow(told, f"{head}, qs long, l long")
+                    ends, lengths = matches(part, shard)
+                    if last:
+                        found = [minimal_absent(x) for x in np.split(lengths, ends[:-1])]
+                        rows = pa.array(np.repeat(np.arange(len(found)), [len(s) for s, _ in found]))
+                        numbers = [pa.array(np.concatenate([f[i] for f in found]).astype(np.int64), pa.int64()) for i in (0, 1)]
+                        yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in range(n_keys)), *numbers], [*keys, "qs", "l"])
+                    else:
+                        offsets = pa.array(np.append(0, ends).astype(np.int32))
+                        matched = pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int32)))
+                        yield pa.RecordBatch.from_arrays([*part.columns[: n_keys + 1], matched], [*keys, "seq", "matched"])
+
+        return run
+
+    held: Shard | None = None
+    for shard in shards(references, ref_seq, longest, shard_chars):
+        if held is not None:
+            current = current.mapInArrow(stage(held, False), f"{head}, seq string, matched array<int>")
+        held = shard
+    return current.mapInArrow(stage(held, True), f"{head}, qs long, l long")
 
 
 def minimal_absent_by_window(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
