@@ -4,7 +4,7 @@ A page's HTTP response, its payload in chunked transfer framing, is a record; a
 continuation records. Reading groups records by origin identifier, orders them by segment number, verifies the total
 length and decodes the chunked framing, all in a stream: a task holds one segment, never a page.
 
-Archives are written by Spark to its shared storage, in files of about FILE_BYTES: rows of text, each a run of whole
+Archives are written by Spark to its shared storage, gzipped, in files of about FILE_BYTES before that: rows of text, each a run of whole
 records, with CRLF as the line separator, so that what stands in a file is WARC and nothing else. Cuts between segments
 and between chunks fall between characters, which keeps every run valid UTF-8.
 
@@ -17,6 +17,7 @@ missing, surplus or of another total length or digest is returned with verified
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -121,8 +122,9 @@ def archive_rows(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """The pages as WARC files below path, a folder that all executors share."""
-    archive_rows(pages).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_BYTES // RUN_BYTES).text(path)
+    """The pages as gzipped WARC files below path, a folder that all executors share."""
+    rows = archive_rows(pages).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_BYTES // RUN_BYTES)
+    rows.option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], memoryview]]:
@@ -239,7 +241,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in stream:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for headers, block in parse_records(content.as_buffer().to_pybytes()):
+                data = content.as_buffer().to_pybytes()
+                for headers, block in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     rows.append(_read(headers, block))
                     if len(rows) == 1024:
                         yield _batch(rows)
