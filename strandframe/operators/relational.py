@@ -53,18 +53,17 @@ def merge_islands(df: DataFrame, keys: Sequence[str], start: str, end: str, touc
     return islands.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n"))
 
 
-def asof_forward(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, right_columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, keys: Sequence[str], on: str, right_columns: Sequence[str]) -> DataFrame:
     """Each left row with the next right row of strictly larger on, null if there is none. Right rows of one key and
     on are told apart by right_columns, of which the least is taken. One shuffle for both sides."""
-    prefix = "next_"
     value = F.struct(F.col(on).alias(on), *(F.col(c).alias(c) for c in right_columns))
-    rights = right.select(*keys, on, F.lit(True).alias("asof_is_right"), value.alias("asof_value"))
+    rights = right.where(F.col(on).isNotNull()).select(*keys, on, F.lit(True).alias("asof_is_right"), value.alias("asof_value"))
     both = left.withColumn("asof_is_right", F.lit(False)).unionByName(rights, allowMissingColumns=True)
-    # after all rows of equal on: by range, so that ties are not next
-    w = Window.partitionBy(*keys).orderBy(F.col("asof_tick")).rangeBetween(1, Window.unboundedFollowing)
-    ticked = both.withColumn("asof_tick", F.dense_rank().over(Window.partitionBy(*keys).orderBy(on)).cast("long"))
-    found = ticked.withColumn("asof_next", F.min("asof_value").over(w)).where(~F.col("asof_is_right"))
-    return found.select(*left.columns, *(F.col("asof_next")[c].alias(prefix + c) for c in (on, *right_columns)))
+    # from the largest down, left rows before right rows of equal on, the least of these last: what was seen last is next.
+    # A running frame is linear in the rows of a key; one that looks ahead would add them up for each row anew.
+    w = Window.partitionBy(*keys).orderBy(F.desc(on), "asof_is_right", F.desc("asof_value")).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("asof_next", F.when(F.col(on).isNotNull(), F.last("asof_value", ignorenulls=True).over(w))).where(~F.col("asof_is_right"))
+    return found.select(*left.columns, *(F.col("asof_next")[c].alias(f"next_{c}") for c in (on, *right_columns)))
 
 
 def interval_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
