@@ -58,20 +58,19 @@ def map_rows(df: DataFrame, columns: list[str], rows: Callable[..., Iterable[tup
     return df.select(*columns).mapInArrow(stream, schema)
 
 
-def with_reference(alignments: DataFrame, contigs: DataFrame, out: str = "ref") -> DataFrame:
+def with_reference(alignments: DataFrame, contigs: DataFrame, out: str = "ref", key: str = "ord") -> DataFrame:
     """Adds the slice of the reference that each alignment covers. The reference is joined in chunks by contig and place,
     so that no task and no broadcast needs a whole genome; alignments of unknown contigs go."""
     chunks = contigs.select(
         F.col("chrom").alias("chunk_chrom"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / CHUNK).cast("int")), lambda i: F.substring(F.col("seq"), i * CHUNK + 1, F.lit(CHUNK)))).alias("chunk", "bases"),
     )
     span = cigar.reference_length(cigar.parse_cigar(F.col("cigar")))
-    places = alignments.select("ord", "chrom", "pos", span.alias("span")).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("pos") / CHUNK).cast("int"), F.floor((F.col("pos") + F.greatest("span", F.lit(1)) - 1) / CHUNK).cast("int"))))
-    joined = places.join(chunks, (F.col("chrom") == F.col("chunk_chrom")) & (places["chunk"] == chunks["chunk"])).select("ord", "pos", "span", places["chunk"], "bases")
+    places = alignments.select(key, "chrom", "pos", span.alias("span")).withColumn("chunk", F.explode(F.sequence(F.floor(F.col("pos") / CHUNK).cast("int"), F.floor((F.col("pos") + F.greatest("span", F.lit(1)) - 1) / CHUNK).cast("int"))))
+    joined = places.join(chunks, (F.col("chrom") == F.col("chunk_chrom")) & (places["chunk"] == chunks["chunk"])).select(key, "pos", "span", places["chunk"], "bases")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bases"))), lambda c: c["bases"]), "")
-    # a chunk of which only part is covered is cut to it before the texts are gathered
-    slices = joined.groupBy("ord", "pos", "span").agg(whole.alias("all"), F.min("chunk").alias("first"))
-    slices = slices.select("ord", F.expr(f"substring(all, pos - first * {CHUNK} + 1, span)").alias(out))
-    return alignments.join(slices, "ord")
+    slices = joined.groupBy(key, "pos", "span").agg(whole.alias("all"), F.min("chunk").alias("first"))
+    slices = slices.select(key, F.expr(f"substring(all, pos - first * {CHUNK} + 1, span)").alias(out))
+    return alignments.join(slices, key)
 
 
 def mismatch_threshold(alignments: DataFrame, contigs: DataFrame, config: Config) -> DataFrame:
@@ -185,9 +184,8 @@ def call_clusters(filled: DataFrame, contigs: DataFrame, config: Config | None =
     """Variants, and the consensus sequences with their alignments. A cluster's reads are one row: it is called alone."""
     config = config or Config()
     # the cluster's stretch of the reference with the base before it, fetched like that of an alignment
-    spans = filled.select(F.monotonically_increasing_id().alias("ord"), "*", F.greatest(F.col("s") - 1, F.lit(0)).alias("pos"), F.concat((F.col("e") - F.greatest(F.col("s") - 1, F.lit(0)) + 1).cast("string"), F.lit("M")).alias("cigar"))
-    spans = spans.drop("ord").withColumn("ord", F.xxhash64("cluster_id"))
-    rows = with_reference(spans, contigs)
+    spans = filled.select("*", F.greatest(F.col("s") - 1, F.lit(0)).alias("pos"), F.concat((F.col("e") - F.greatest(F.col("s") - 1, F.lit(0)) + 1).cast("string"), F.lit("M")).alias("cigar"))
+    rows = with_reference(spans, contigs, key="cluster_id")
 
     def called(cluster_id: str, chrom: str, s: int, e: int, pos: int, cov: int, cov0: int, cov1: int, cov2: int, rvec: list, subreads: list, ref: str) -> Iterator[tuple]:
         lengths, tags = [len(x["seq"]) for x in subreads], [x["hp"] for x in subreads]
