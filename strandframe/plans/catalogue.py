@@ -351,7 +351,10 @@ def string_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 select cast(user_id as varchar) as qname, cast(event_id as integer) as qs, cast(event_id % 50 + 1 as integer) as l, cast(event_id % 3 as integer) as htag from events""")
 def parsed_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = string_lines(spark, sf_dir).select(F.row_number().over(Window.orderBy("qname", F.when(F.col("value").startswith("*"), 1).otherwise(0), "value")).alias("ord"), "value")
+    lines = string_lines(spark, sf_dir)
+    # each read's lines together and in order, its name first, as files of them are
+    first = F.when(F.col("value").startswith("*"), 1).otherwise(0)
+    lines = lines.repartitionByRange(4, "qname").sortWithinPartitions("qname", first).select(F.monotonically_increasing_id().alias("ord"), "value")
     return strings_text.parse_strings(lines)
 
 

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from ..config import Config
 from ..functions import cigar
@@ -42,9 +44,6 @@ def ops_text(ops: list[tuple[int, str]]) -> str:
 
 def map_rows(df: DataFrame, columns: list[str], rows: Callable[..., Iterable[tuple]], schema: str) -> DataFrame:
     """rows(*values) gives any number of output rows for each input row."""
-    from pyspark.sql.types import _parse_datatype_string  # noqa: PLC0415
-    from pyspark.sql.pandas.types import to_arrow_schema  # noqa: PLC0415
-
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

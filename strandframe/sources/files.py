@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import gzip
+import io
 from collections.abc import Iterator
-from io import BufferedReader
 
 from pyarrow import fs
 
@@ -27,34 +27,34 @@ def listed(path: str) -> list[str]:
     return [scheme + x if scheme and "://" not in x else x for x in found]
 
 
-def open_binary(path: str) -> BufferedReader:
-    system, inner = resolve(path)
-    return BufferedReader(_Raw(system.open_input_file(inner)), 1 << 20)
+class _Native(io.RawIOBase):
+    """An Arrow file as a raw stream of Python's."""
 
+    def __init__(self, native):
+        self.native = native
 
-def _Raw(native):  # noqa: N802
-    import io
+    def readable(self) -> bool:
+        return True
 
-    class Raw(io.RawIOBase):
-        def readable(self) -> bool:
-            return True
+    def seekable(self) -> bool:
+        return True
 
-        def seekable(self) -> bool:
-            return True
+    def readinto(self, buffer) -> int:
+        data = self.native.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
 
-        def readinto(self, buffer) -> int:
-            data = native.read(len(buffer))
-            buffer[: len(data)] = data
-            return len(data)
+    def seek(self, at: int, whence: int = 0) -> int:
+        self.native.seek(at, whence)
+        return self.native.tell()
 
-        def seek(self, at: int, whence: int = 0) -> int:
-            native.seek(at, whence)
-            return native.tell()
+    def tell(self) -> int:
+        return self.native.tell()
 
-        def tell(self) -> int:
-            return native.tell()
 
-    return Raw()
+def open_binary(path: str) -> io.BufferedReader:
+    system, inner = resolve(path)
+    return io.BufferedReader(_Native(system.open_input_file(inner)), 1 << 20)
 
 
 def lines(path: str) -> Iterator[str]:

@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 def parse_strings(lines: DataFrame) -> DataFrame:
     """lines: ord and value. A name that comes again starts that read's list anew: the last run of a name counts.
 
-    A run goes over the whole file's order, so the fill is one ordered window; files are written by read, for which
-    Parquet is the faster form.
+    ord is that of monotonically_increasing_id, whose upper bits number the partition. Names are filled within each
+    partition; what a partition's first lines refer to is carried over from those before by a table of one row each.
     """
     parts = F.filter(F.split("value", r"\s+"), lambda x: x != "")
-    rows = lines.select("ord", parts.alias("p")).where(F.size("p") >= 3)
+    rows = lines.select("ord", F.shiftright("ord", 33).alias("part"), parts.alias("p")).where(F.size("p") >= 3)
     named = rows.withColumn("name", F.when(F.col("p")[0] != "*", F.col("p")[0])).withColumn("begins", F.when(F.col("name").isNotNull(), F.col("ord")))
-    w = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    filled = named.withColumn("qname", F.last("name", ignorenulls=True).over(w)).withColumn("run", F.last("begins", ignorenulls=True).over(w))
-    last = filled.withColumn("last_run", F.max("run").over(Window.partitionBy("qname"))).where(F.col("run") == F.col("last_run"))
-    return last.select("qname", F.col("p")[1].cast("int").alias("qs"), F.col("p")[2].cast("int").alias("l"), F.coalesce(F.try_element_at("p", F.lit(4)).cast("int"), F.lit(0)).alias("htag"))
+    last = named.groupBy("part").agg(F.max_by("name", "begins").alias("name"), F.max("begins").alias("begins"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("part", F.last("name", ignorenulls=True).over(before).alias("carried_name"), F.last("begins", ignorenulls=True).over(before).alias("carried_run"))
+    w = Window.partitionBy("part").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    # a row for each input split: bounded by their number
+    filled = named.join(F.broadcast(carried), "part").select(
+        "p", F.coalesce(F.last("name", ignorenulls=True).over(w), "carried_name").alias("qname"), F.coalesce(F.last("begins", ignorenulls=True).over(w), "carried_run").alias("run")
+    )
+    kept = filled.withColumn("last_run", F.max("run").over(Window.partitionBy("qname"))).where(F.col("run") == F.col("last_run"))
+    return kept.select("qname", F.col("p")[1].cast("int").alias("qs"), F.col("p")[2].cast("int").alias("l"), F.coalesce(F.try_element_at("p", F.lit(4)).cast("int"), F.lit(0)).alias("htag"))
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:

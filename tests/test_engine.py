@@ -154,6 +154,10 @@ def test_strings_text(spark):
     lines = ["r1\t120\t35\t1\t", "*\t900\t52\t1\t", "r2\t44\t61\t0\t", "r1\t5\t6\t2\t", "*  7 8"]
     got = strings_text.parse_strings(spark.createDataFrame(list(enumerate(lines)), "ord long, value string"))
     assert {tuple(r) for r in got.collect()} == {("r2", 44, 61, 0), ("r1", 5, 6, 2), ("r1", 7, 8, 0)}
+    # the same lines over partitions, some of which begin within a read
+    split = [((k // 2 << 33) + k % 2, v) for k, v in enumerate(lines)]
+    again = strings_text.parse_strings(spark.createDataFrame(split, "ord long, value string"))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in got.collect()}
 
 
 def test_alignment_kernel():
