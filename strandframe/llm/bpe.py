@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from .util import map_texts
 
 #: Bounds of what a worker process keeps: whole pieces, steps of the transducer, and facts about pairs of tokens.
-MAX_PIECES = 400_000
-MAX_STEPS = 600_000
-MAX_PAIRS = 600_000
+MAX_PIECES = 200_000
+MAX_STEPS = 250_000
+MAX_PAIRS = 250_000
 BLOCK_PIECES = 1 << 16
 #: Misses after which a state gets further steps; longer pieces always get them, which bounds the lookahead.
 OFTEN, SHORT_PIECE = 20, 256
