@@ -40,6 +40,7 @@ TEMPLATES = {
     "cc-by-4.0-long-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc0-1.0-notice": "Dedicated to the public domain under CC0 1.0.",
     "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "all-rights-reserved-notice": "All rights reserved.",
 }
 
 _OTHER = r"[^\p{L}\p{N}]+"

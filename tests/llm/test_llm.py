@@ -126,6 +126,13 @@ def test_licenses(spark, rows, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_plain_notice_of_rights(spark):
+    texts = ["All rights reserved.", "some prose\nAll rights reserved.\nmore prose", "all rights of the road"]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    name = "all-rights-reserved-notice"
+    assert by_id(licenses.scan_licenses(df), "license", "n_lines", "whole_text") == Counter([(0, name, 1, True), (1, name, 1, False), (2, None, 0, False)])
+
+
 # 3
 
 
