@@ -126,18 +126,31 @@ def haplotype_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("user_id").agg(*(F.count_if(F.col("hap") == h).alias(f"cov{h}") for h in range(3)), F.count("*").alias("cov"))
 
 
+def _overlaps(lines: DataFrame) -> DataFrame:
+    """Pairs of returned and accepted lines of a supplier whose spans of parts overlap."""
+    end = F.col("l_partkey") + F.col("l_quantity").cast("long")
+    a = lines.where("l_returnflag = 'R'").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("s"), end.alias("e"))
+    b = lines.where("l_returnflag = 'A'").select("l_suppkey", F.col("l_orderkey").alias("other_order"), F.col("l_partkey").alias("other_s"), end.alias("other_e"))
+    pairs = relational.interval_join(a, b, ["l_suppkey"], ("s", "e"), ("other_s", "other_e"), width=64)
+    return pairs.select("l_suppkey", "l_orderkey", "l_linenumber", "other_order", (F.least("e", "other_e") - F.greatest("s", "other_s")).alias("overlap"))
+
+
 @query("""
 select l_suppkey, l_orderkey, l_linenumber, other_order, overlap from (
 select a.l_suppkey, a.l_orderkey, a.l_linenumber, b.l_orderkey as other_order, cast(least(a.l_partkey + cast(a.l_quantity as bigint), b.l_partkey + cast(b.l_quantity as bigint)) - greatest(a.l_partkey, b.l_partkey) as bigint) as overlap
 from lineitem a join lineitem b on a.l_suppkey = b.l_suppkey and a.l_partkey <= b.l_partkey + cast(b.l_quantity as bigint) and b.l_partkey <= a.l_partkey + cast(a.l_quantity as bigint)
 where a.l_returnflag = 'R' and b.l_returnflag = 'A' and a.l_quantity >= 45 and b.l_quantity >= 45)""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_quantity >= 45")
-    end = F.col("l_partkey") + F.col("l_quantity").cast("long")
-    a = lines.where("l_returnflag = 'R'").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("s"), end.alias("e"))
-    b = lines.where("l_returnflag = 'A'").select("l_suppkey", F.col("l_orderkey").alias("other_order"), F.col("l_partkey").alias("other_s"), end.alias("other_e"))
-    pairs = relational.interval_join(a, b, ["l_suppkey"], ("s", "e"), ("other_s", "other_e"), width=64)
-    return pairs.select("l_suppkey", "l_orderkey", "l_linenumber", "other_order", (F.least("e", "other_e") - F.greatest("s", "other_s")).alias("overlap"))
+    """Lines of 45 and more only, as in its SQL; interval_overlap_all has every line."""
+    return _overlaps(table(spark, sf_dir, "lineitem").where("l_quantity >= 45"))
+
+
+@query("""
+select a.l_suppkey, a.l_orderkey, a.l_linenumber, b.l_orderkey as other_order, cast(least(a.l_partkey + cast(a.l_quantity as bigint), b.l_partkey + cast(b.l_quantity as bigint)) - greatest(a.l_partkey, b.l_partkey) as bigint) as overlap
+from lineitem a join lineitem b on a.l_suppkey = b.l_suppkey and a.l_partkey <= b.l_partkey + cast(b.l_quantity as bigint) and b.l_partkey <= a.l_partkey + cast(a.l_quantity as bigint)
+where a.l_returnflag = 'R' and b.l_returnflag = 'A'""")
+def interval_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overlaps(table(spark, sf_dir, "lineitem"))
 
 
 @query("""

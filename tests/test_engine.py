@@ -291,6 +291,16 @@ def test_interval_join(spark):
     assert Counter((r["i"], r["j"]) for r in got.collect()) == Counter((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
 
 
+def test_overlap_of_all_lines(spark, tmp_path):
+    rnd = random.Random(11)
+    lines = [(i, 1, rnd.randint(1, 3), rnd.randint(1, 150), float(rnd.randint(1, 50)), rnd.choice("RAN")) for i in range(150)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = Counter(tuple(r) for r in catalogue.QUERIES["interval_overlap_all"](spark, str(tmp_path)).collect())
+    ends = [(*x, x[3] + int(x[4])) for x in lines]
+    want = Counter((a[2], a[0], a[1], b[0], min(a[6], b[6]) - max(a[3], b[3])) for a in ends for b in ends if (a[5], b[5]) == ("R", "A") and a[2] == b[2] and a[3] <= b[6] and b[3] <= a[6])
+    assert got == want and want
+
+
 SF = "/root/testdata/sf0.001"
 
 
