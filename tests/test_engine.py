@@ -301,6 +301,15 @@ def test_overlap_of_all_lines(spark, tmp_path):
     assert got == want and want
 
 
+def test_semi_scan_of_all_orders(spark, tmp_path):
+    orders = [(i, i % 7) for i in range(40)]
+    lines = [(i, "RAN"[i % 3]) for i in range(0, 60, 2)] * 2
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = Counter(tuple(r) for r in catalogue.QUERIES["semi_scan_all"](spark, str(tmp_path)).collect())
+    assert got == Counter(o for o in orders if (o[0], "R") in lines)
+
+
 SF = "/root/testdata/sf0.001"
 
 
