@@ -91,6 +91,15 @@ def test_quality_divergence(spark, docs):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(40))
 
 
+def test_quality_fragments(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality.quality_verdicts(texts).join(texts.select("doc_id", "text"), "doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    clean = [r["kept"] for r in rows if r["quality"] == 1]
+    junk = [r["kept"] for r in rows if r["quality"] == 0 and r["text"].count(" | ") > 5 and r["word_distance"] is not None]
+    assert sum(clean) >= 0.95 * len(clean) and junk and sum(junk) < 0.4 * len(junk)
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 0.0], [3, 1]]), np.array([[0.0, 5.0], [3, 1]])
     assert quality.js_distance(p, q).tolist() == [1.0, 0.0]
