@@ -24,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from .fmindex import FMIndex
-from .util import utf8
+from .util import fresh, shared_folder, utf8
 
 WINDOW = 10
 SHARD_BYTES = 8 << 20
@@ -187,39 +188,87 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"\n".join([*out, text[at:]])
 
 
+def _replaced(part: pa.RecordBatch, changed: dict[int, bytes], at_text: int, at_chars: int | None) -> pa.RecordBatch:
+    """The rows with the changed texts, by index, and n_chars of these."""
+    if not changed:
+        return part
+    old = part.column(at_text)
+    new = [changed[i].decode() if i in changed else v for i, v in enumerate(old.to_pylist())]
+    arrays = list(part.columns)
+    arrays[at_text] = pa.array(new, old.type)
+    if at_chars is not None:
+        lengths = part.column(at_chars).to_pylist()
+        arrays[at_chars] = pa.array([len(new[i]) if i in changed else v for i, v in enumerate(lengths)], part.column(at_chars).type)
+    return pa.RecordBatch.from_arrays(arrays, schema=part.schema)
+
+
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every benchmark phrase cut from text and n_chars set anew; all columns and rows stay.
 
-    Words that come together around a cut are searched again, until no phrase is left.
+    Words that come together around a cut are searched again, until no phrase is left. With several blocks of the
+    benchmark the spans of all are merged before a cut; each round is written to the shared folder, and only the
+    documents that it changed go round again.
     """
     names = docs.columns
     at_text = names.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else None
     blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
-    # with several blocks a cut for one may bring together a phrase of another: all go round again
-    for block in blocks if len(blocks) == 1 else blocks + blocks:
-        phrases = Phrases([(r["id"], bytes(r["text"])) for r in block.collect()])
+    if len(blocks) > 1:
+        return _remove_in_rounds(docs, blocks, at_text, at_chars)
+    phrases = Phrases([(r["id"], bytes(r["text"])) for r in blocks[0].collect()])
 
-        def clean(stream: Iterable[pa.RecordBatch], phrases: Phrases = phrases) -> Iterator[pa.RecordBatch]:
-            for part, texts in _shards(stream, at_text):
-                todo = dict(enumerate(texts))
-                changed: dict[int, bytes] = {}
-                while todo:
-                    keys = list(todo)
-                    _, found = phrases.hits([todo[i] for i in keys])
-                    todo = {keys[j]: cut_spans(todo[keys[j]], spans) for j, (spans, _) in found.items()}
-                    changed |= todo
-                if changed:
-                    old = part.column(at_text)
-                    new = [changed[i].decode() if i in changed else v for i, v in enumerate(old.to_pylist())]
-                    arrays = list(part.columns)
-                    arrays[at_text] = pa.array(new, old.type)
-                    if at_chars is not None:
-                        lengths = part.column(at_chars).to_pylist()
-                        arrays[at_chars] = pa.array([len(new[i]) if i in changed else v for i, v in enumerate(lengths)], part.column(at_chars).type)
-                    part = pa.RecordBatch.from_arrays(arrays, schema=part.schema)
-                yield part
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    def clean(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in _shards(stream, at_text):
+            todo = dict(enumerate(texts))
+            changed: dict[int, bytes] = {}
+            while todo:
+                keys = list(todo)
+                _, found = phrases.hits([todo[i] for i in keys])
+                todo = {keys[j]: cut_spans(todo[keys[j]], spans) for j, (spans, _) in found.items()}
+                changed |= todo
+            yield _replaced(part, changed, at_text, at_chars)
 
+    return docs.mapInArrow(clean, docs.schema)
+
+
+def _remove_in_rounds(docs: DataFrame, blocks: list[DataFrame], at_text: int, at_chars: int | None) -> DataFrame:
+    names = docs.columns
+    extra = fresh(docs, "cut")
+    with_spans = StructType([*docs.schema.fields, StructField(extra, ArrayType(LongType()))])
+    with_flag = StructType([*docs.schema.fields, StructField(extra, BooleanType())])
+
+    def cut_once(rows: DataFrame) -> DataFrame:
+        for k, block in enumerate(blocks):
+            phrases = Phrases([(r["id"], bytes(r["text"])) for r in block.collect()])
+            last = k == len(blocks) - 1
+
+            def search(stream: Iterable[pa.RecordBatch], phrases: Phrases = phrases, last: bool = last, k: int = k) -> Iterator[pa.RecordBatch]:
+                for part, texts in _shards(stream, at_text):
+                    _, found = phrases.hits(texts)
+                    spans = {i: x for i, (x, _) in found.items()}
+                    if k:
+                        for i, more in enumerate(part.column(len(names)).to_pylist()):
+                            if more:
+                                spans[i] = merge([*zip(more[::2], more[1::2]), *spans.get(i, [])])
+                    part = part.select(names)
+                    if last:
+                        part = _replaced(part, {i: cut_spans(texts[i], x) for i, x in spans.items()}, at_text, at_chars)
+                        added = pa.array([i in spans for i in range(len(texts))], pa.bool_())
+                    else:
+                        added = pa.array([list(sum(spans.get(i, []), ())) for i in range(len(texts))], SPANS)
+                    yield pa.RecordBatch.from_arrays([*part.columns, added], [*names, extra])
+
+            rows = rows.mapInArrow(search, with_flag if last else with_spans)
+        return rows
+
+    spark = docs.sparkSession
+    done, todo = None, docs
+    while True:
+        path = shared_folder(spark, "decontamination-round")
+        cut_once(todo).write.parquet(path)
+        out = spark.read.schema(with_flag).parquet(path)
+        same = out.where(~F.col(extra)).drop(extra)
+        done = same if done is None else done.unionByName(same)
+        todo = out.where(F.col(extra)).drop(extra)
+        if todo.isEmpty():
+            return done

@@ -262,6 +262,23 @@ def test_remove_phrases(leaks, none):
     assert decontam.find_phrases(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_remove_phrases_in_blocks(spark):
+    words = [f"w{i}" for i in range(47)]
+    chain = [" ".join(words[i : i + 12]) for i in range(0, 36, 7)]  # each overlaps the next by five words
+    nested = [[f"n{k}x{i}" for i in range(12)] for k in range(5)]
+    inner: list[str] = []
+    for item in nested:
+        inner = [*item[:6], *inner, *item[6:]]
+    items = [*enumerate(chain), *((100 + k, " ".join(x)) for k, x in enumerate(nested))]
+    rows = [(1, "before " + " ".join(words) + " after", "en", "s", 9), (2, "Some " + " ".join(inner) + " end", "en", "s", 9), (2, "untouched", None, None, None), (None, None, "en", "s", None)]
+    docs, benchmark = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as cut"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(decontam.benchmark_blocks(benchmark, block_bytes=1000)) > 2
+    found = Counter(map(tuple, decontam.remove_phrases(docs, benchmark, block_bytes=1000).collect()))
+    assert found == Counter(map(tuple, decontam.remove_phrases(docs, benchmark).collect()))
+    assert not any(brute_contamination(text, items)[4] for _, text, *_ in found)
+    assert {t for _, t, *_ in found} == {"before \n after", "Some \n end", "untouched", None}
+
+
 # 5
 
 
