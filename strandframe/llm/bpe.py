@@ -4,7 +4,12 @@ What it rests on: a sequence of tokens is the BPE encoding of its bytes exactly
 own bytes and each adjacent pair that of its bytes, for merges act on what is beside them and never cross the bounds
 that remain. So every prefix of a text has one last token, and a state needs only the places in the bytes read at
 which a token that goes on may start, with the tokens that lead there. Tokens that lead to all of them are emitted:
-the lookahead is bounded by the longest token. States and steps are made when a text first needs them.
+the lookahead is bounded by the longest token. Every state and step is made when a text first needs it, and kept.
+
+Which tokens may follow one is decided by its right spine alone (the token, its right half, that one's right half ...),
+and only by those parts of the spine that some merge could take on to the right before the spine's own next merge does.
+Tokens that agree in these are one class. A state names the class of the token before its first place, never that
+token, and no class where it rules out nothing of what can still come: so states recur from word to word.
 
 Decoding streams: bytes of tokens pass an incremental UTF-8 state machine that holds back at most three bytes.
 
@@ -26,17 +31,16 @@ from pyspark.sql import functions as F
 
 from .util import map_texts
 
-#: Bounds of what a worker process keeps: whole pieces, steps of the transducer, and facts about pairs of tokens.
-MAX_PIECES = 200_000
-MAX_STEPS = 250_000
-MAX_PAIRS = 250_000
+#: Bounds of what a worker process keeps: whole pieces, and steps of the transducer.
+MAX_PIECES = 100_000
+MAX_STEPS = 300_000
 BLOCK_PIECES = 1 << 16
-#: Misses after which a state gets further steps; longer pieces always get them, which bounds the lookahead.
-OFTEN, SHORT_PIECE = 20, 256
-#: A place stays open unproven while more tokens than this could start there.
-FEW = 24
 #: Above every rank.
 NEVER = 1 << 60
+#: Bits of a packed step that number the state; those above number what is emitted.
+STATE_BITS = 24
+#: The class of what rules out nothing: of the beginning of a piece, and of tokens that no merge takes on.
+FREE = 0
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,137 +48,209 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
-class Transducer:
+class Vocabulary:
+    """The tokens of a merge list as a trie, their halves, and which of them may follow which.
+
+    Tokens are numbered in the order of their bytes, so that those below a node of the trie are a run of numbers.
+    """
+
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.token = {rank: token for token, rank in ranks.items()}
-        # a trie of the tokens: child[node << 8 | byte], and the token that ends at a node
+        self.tokens = sorted(ranks)
+        self.number = {token: i for i, token in enumerate(self.tokens)}
+        self.rank = [ranks[t] for t in self.tokens]
+        n = len(self.tokens)
+        # child[node << 8 | byte]; the tokens below a node are numbered from first to last - 1, its own the first of them
         self.child: dict[int, int] = {}
-        self.ends: list[int | None] = [None]
-        for token, rank in ranks.items():
+        self.first, self.last, self.own = [0], [n], [-1]
+        for i, token in enumerate(self.tokens):
             node = 0
             for byte in token:
                 step = node << 8 | byte
                 if step not in self.child:
-                    self.child[step] = len(self.ends)
-                    self.ends.append(None)
+                    self.child[step] = len(self.first)
+                    self.first.append(i)
+                    self.last.append(i)
+                    self.own.append(-1)
                 node = self.child[step]
-            self.ends[node] = rank
-        # the steps out of each node that has no more than FEW tokens below it
-        below = [0] * len(self.ends)
-        out: list[list[int]] = [[] for _ in self.ends]
-        for step, node in sorted(self.child.items(), key=lambda x: -x[1]):  # a child's number is above its parent's
-            below[node] += self.ends[node] is not None
-            below[step >> 8] += below[node]
-            out[step >> 8].append(node)
-        self.out = [nodes if n <= FEW else None for n, nodes in zip(below, out)]
-        self.open_known: dict[tuple[int | None, int], bool] = {}
-        self.pair_known: dict[tuple[int, int], bool] = {}
-        self.known_halves: dict[int, tuple[int, int] | None] = {}
+                self.last[node] = i + 1
+            self.own[node] = i
+        self._halve(ranks)
+        self.partners: dict[int, tuple[np.ndarray, ...]] = {}
+        self.class_of: dict[int, int] = {}
+        self.classes: dict[tuple, int] = {(): FREE}
+        #: By class, a bit for each token that may follow.
+        self.allowed = [self.whole]
+
+    def _halve(self, ranks: dict[bytes, int]) -> None:
+        """The two tokens whose merge, the last of its own encoding, makes each token; none for a byte, or for a token
+        that its bytes don't merge into. The adjacent pair of least rank merges, the leftmost first."""
+        n = len(self.tokens)
+        self.left, self.right = [-1] * n, [-1] * n
+        whole = bytearray(n)
+        for i, token in enumerate(self.tokens):
+            parts = [token[k : k + 1] for k in range(len(token))]
+            merges = [ranks.get(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+            while len(parts) > 2:
+                rank = min(merges)
+                if rank == NEVER:
+                    break
+                k = merges.index(rank)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del merges[k]
+                if k:
+                    merges[k - 1] = ranks.get(parts[k - 1] + parts[k], NEVER)
+                if k < len(merges):
+                    merges[k] = ranks.get(parts[k] + parts[k + 1], NEVER)
+            if len(parts) == 2:
+                self.left[i], self.right[i] = self.number[parts[0]], self.number[parts[1]]
+            whole[i] = len(parts) <= 2
+        self.whole = int.from_bytes(np.packbits(np.frombuffer(whole, np.uint8), bitorder="little").tobytes(), "little")
+        # the tree in which a token stands below its left half, its children by rank, laid out in preorder
+        born = [-1 if self.left[i] < 0 else self.rank[i] for i in range(n)]  # bytes are there from the start
+        below: list[list[int]] = [[] for _ in range(n)]
+        for i in sorted(range(n), key=self.rank.__getitem__):
+            if self.left[i] >= 0:
+                below[self.left[i]].append(i)
+        self.below, self.born = below, born
+        self.begin, self.end = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        at = 0
+        for root in (i for i in range(n) if self.left[i] < 0):
+            stack = [(root, iter(below[root]))]
+            self.begin[root] = at
+            at += 1
+            while stack:
+                node, rest = stack[-1]
+                child = next(rest, None)
+                if child is None:
+                    self.end[node] = at
+                    stack.pop()
+                else:
+                    self.begin[child] = at
+                    at += 1
+                    stack.append((child, iter(below[child])))
+
+    def _partners(self, a: int) -> tuple[np.ndarray, ...]:
+        """Of each x that merges with a on its left: up to which limit of a it does, its place in the preorder, and the
+        run of tokens that hold x at their left edge until that merge has come: ascending by the limit.
+
+        The merge of rank m takes a and x if both are there at once and neither is taken by another merge before. So x
+        must be born before a is taken, and a before x is; children of x of a rank below m take it before.
+        """
+        if a not in self.partners:
+            token, rows = self.tokens[a], []
+            node = 0
+            for byte in token:
+                node = self.child[node << 8 | byte]
+            for i in range(self.first[node], self.last[node]):
+                x = self.number.get(self.tokens[i][len(token) :])
+                if x is None or not self.whole >> x & 1:
+                    continue
+                least, children = max(self.rank[i], self.born[a]), self.below[x]
+                k = next((self.begin[c] for c in children if self.rank[c] >= least), self.end[x])
+                rows.append((max(self.rank[i], self.born[x]), self.begin[x], k, self.end[x]))
+            rows.sort()
+            self.partners[a] = tuple(np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 4
+        return self.partners[a]
+
+    def class_after(self, token: int) -> int:
+        """The class of tokens that may be followed by the same ones."""
+        found = self.class_of.get(token)
+        if found is None:
+            spine, a, limit = [], token, NEVER
+            while a >= 0:
+                k = int(np.searchsorted(self._partners(a)[0], limit))
+                if k:
+                    spine.append((a, k))
+                a, limit = self.right[a], self.rank[a]
+            key = tuple(spine)
+            found = self.classes.get(key)
+            if found is None:
+                found = self.classes[key] = len(self.allowed)
+                self.allowed.append(self._allow(spine))
+            self.class_of[token] = found
+        return found
+
+    def _allow(self, spine: list[tuple[int, int]]) -> int:
+        edges = np.zeros(len(self.tokens) + 1, np.int32)
+        for a, k in spine:
+            _, own, begin, end = self._partners(a)
+            np.add.at(edges, own[:k], 1)
+            np.add.at(edges, own[:k] + 1, -1)
+            np.add.at(edges, begin[:k], 1)
+            np.add.at(edges, end[:k], -1)
+        kept = np.cumsum(edges[:-1])[self.begin] == 0
+        return self.whole & int.from_bytes(np.packbits(kept, bitorder="little").tobytes(), "little")
+
+    def follows(self, kind: int, token: int) -> bool:
+        return bool(self.allowed[kind] >> token & 1)
+
+    def beyond(self, kind: int, node: int) -> tuple[bool, bool]:
+        """Whether some token beyond this node may follow the class, and whether all may that are encodings at all."""
+        low, high = self.first[node] + (self.own[node] >= 0), self.last[node]
+        if low >= high:
+            return False, True
+        bits = (1 << high - low) - 1
+        all_ = self.whole >> low & bits
+        found = self.allowed[kind] >> low & bits
+        return bool(found), found == all_
+
+
+class Transducer:
+    """A state: the class of what stands before its first place; the tokens that lead to live places, as (end, start,
+    token); and the live places with the trie nodes of what was read since. The last live place is the end of what was
+    read, at which a token may always start."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.words = Vocabulary(ranks)
+        self.ids = np.array(self.words.rank, np.int64).tolist()
         self.reset()
 
     def reset(self) -> None:
         self.number: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self.flushed: list[tuple[int, ...]] = []
-        self.misses: list[int] = []
-        self.n_steps = 0
-        self._state((None, (), ((0, 0),)))
-
-    def halves(self, token: int) -> tuple[int, int] | None:
-        """The two tokens whose merge, the last of its own encoding, makes this one; None for a byte, or if its bytes
-        don't merge into it. The adjacent pair of least rank merges, the leftmost first."""
-        if token not in self.known_halves:
-            data = self.token[token]
-            parts, last = [self.ranks[data[i : i + 1]] for i in range(len(data))], None
-            while len(parts) > 1:
-                pairs = [(self.ranks.get(self.token[a] + self.token[b], NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:]))]
-                rank, i = min(pairs)
-                if rank == NEVER:
-                    last = None
-                    break
-                last = (parts[i], parts[i + 1])
-                parts[i : i + 2] = [rank]
-            self.known_halves[token] = last
-        return self.known_halves[token]
-
-    def whole(self, token: int) -> bool:
-        return len(self.token[token]) == 1 or self.halves(token) is not None
+        #: steps[state << 8 | byte]: the state it leads to and, above STATE_BITS, the number of what it emits.
+        self.steps: dict[int, int] = {}
+        self.emitted: dict[tuple[int, ...], int] = {(): 0}
+        self.output: list[tuple[int, ...]] = [()]
+        self._state((FREE, (), ((0, 0),)))
 
-    def follows(self, left: int | None, right: int) -> bool:
-        """Whether right can stand after left (or begin) in an encoding.
-
-        Merges are undone from the last to the first, only those that touch the seam: while two tokens face each other
-        there, they stay apart if their own merge would come after the merge that takes either of them away. The left
-        one's merge lies further left and comes first at equal rank, the right one's comes second.
-        """
-        if left is None:
-            return self.whole(right)
-        known = self.pair_known.get((left, right))
-        if known is None:
-            known = self.whole(left) and self.whole(right)
-            a, b, until = left, right, NEVER
-            while known:
-                if self.ranks.get(self.token[a] + self.token[b], NEVER) < until:
-                    known = False
-                    break
-                undo_a, undo_b = self.halves(a), self.halves(b)
-                if undo_a is None and undo_b is None:
-                    break
-                if undo_b is None or (undo_a is not None and a > b):
-                    until, a = a, undo_a[1]
-                else:
-                    until, b = b + 1, undo_b[0]
-            if len(self.pair_known) >= MAX_PAIRS:
-                self.pair_known.clear()
-            self.pair_known[left, right] = known
-        return known
-
-    def open(self, left: int | None, node: int) -> bool:
-        """Whether some token beyond this node of the trie can follow left; taken for granted where there are many."""
-        nodes = self.out[node]
-        if nodes is None:
-            return True
-        known = self.open_known.get((left, node))
-        if known is None:
-            known = any((self.ends[n] is not None and self.follows(left, self.ends[n])) or self.open(left, n) for n in nodes)
-            if len(self.open_known) >= MAX_PAIRS:
-                self.open_known.clear()
-            self.open_known[left, node] = known
-        return known
+    @property
+    def n_steps(self) -> int:
+        return len(self.steps)
 
     def _state(self, state: tuple) -> int:
-        """state: the last token emitted, if a token may still start right after it; the tokens that lead to live places,
-        as (end, start, token); and the live places with the trie nodes of what was read since."""
         number = self.number.get(state)
         if number is None:
             number = self.number[state] = len(self.states)
             self.states.append(state)
-            self.steps.append({})
-            self.misses.append(0)
             at = {end: (start, token) for end, start, token in state[1]}
-            place, out = max(p for p, _ in state[2]), []  # the last live place is the end of what was read
+            place, out = state[2][-1][0], []
             while place:
                 place, token = at[place]
-                out.append(token)
+                out.append(self.ids[token])
             self.flushed.append(tuple(reversed(out)))
         return number
 
-    def _step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _step(self, number: int, byte: int) -> int:
+        words = self.words
         before, edges, live = self.states[number]
         at = {end: (start, token) for end, start, token in edges}
-        end = max(p for p, _ in live) + 1
+        end = live[-1][0] + 1
         alive = []
         for place, node in live:
-            child = self.child.get(node << 8 | byte)
+            child = words.child.get(node << 8 | byte)
             if child is None:
                 continue
-            token, left = self.ends[child], at[place][1] if place else before
-            if token is not None and self.follows(left, token):
+            kind = words.class_after(at[place][1]) if place else before
+            token = words.own[child]
+            if token >= 0 and words.follows(kind, token):
                 at[end] = (place, token)
-            if self.open(left, child):
+            some, every = words.beyond(kind, child)
+            if some:
                 alive.append((place, child))
+                if not place and every:
+                    before = FREE  # of what can still come here nothing is ruled out
         alive.append((end, 0))
         # only what leads to live places stays
         needed: dict[int, tuple[int, int]] = {}
@@ -188,72 +264,40 @@ class Transducer:
         while alive[0][0] != origin:
             firsts = [e for e, (start, _) in needed.items() if start == origin]
             if len(firsts) != 1:
+                before = FREE  # the origin is no live place: what stands before it decides no more
                 break
-            before = needed.pop(firsts[0])[1]
-            out.append(before)
+            token = needed.pop(firsts[0])[1]
+            out.append(self.ids[token])
+            before = words.class_after(token)
             origin = firsts[0]
         state = (
-            before if alive[0][0] == origin else None,
+            before,
             tuple(sorted((e - origin, s - origin, t) for e, (s, t) in needed.items())),
             tuple((p - origin, n) for p, n in alive),
         )
-        step = self.steps[number][byte] = (self._state(state), tuple(out))
-        self.n_steps += 1
+        emitted = tuple(out)
+        told = self.emitted.get(emitted)
+        if told is None:
+            told = self.emitted[emitted] = len(self.output)
+            self.output.append(emitted)
+        step = self.steps[number << 8 | byte] = told << STATE_BITS | self._state(state)
         return step
 
     def encode(self, piece: bytes) -> list[int]:
-        """Along steps that are known. At one that isn't, the state's misses decide: a state that is met often gets the
-        step, else the rest of a short piece is read without making states."""
-        if self.n_steps > MAX_STEPS:
-            self.reset()
         out: list[int] = []
-        number, steps, misses, short = 0, self.steps, self.misses, len(piece) <= SHORT_PIECE
-        for i, byte in enumerate(piece):
-            step = steps[number].get(byte)
+        state, steps, output = 0, self.steps.get, self.output
+        for byte in piece:
+            step = steps(state << 8 | byte)
             if step is None:
-                misses[number] += 1
-                if short and misses[number] < OFTEN:
-                    out += self._rest(number, piece, i)
-                    return out
-                step = self._step(number, byte)
-            number = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.flushed[number]
-        return out
-
-    def _rest(self, number: int, piece: bytes, i: int) -> list[int]:
-        """The tokens from a state to the end of the piece, i bytes of which led to the state."""
-        before, edges, live = self.states[number]
-        size = live[-1][0]  # bytes read since the origin of the state
-        data = piece[i:]
-        n = size + len(data)
-        start: list[int] = [0] * (n + 1)
-        last: list[int | None] = [None] * (n + 1)
-        last[0] = before
-        for end, begin, token in edges:
-            start[end], last[end] = begin, token
-        child, ends, follows, known = self.child.get, self.ends, self.follows, self.pair_known.get
-        places = list(live)
-        for place in range(size, n):
-            if place > size:
-                places = ((place, 0),)
-            for begin, node in places:
-                left = last[begin]
-                for end in range(max(begin, size), n):
-                    node = child(node << 8 | data[end - size])
-                    if node is None:
-                        break
-                    token = ends[node]
-                    if token is not None and last[end + 1] is None:
-                        fits = known((left, token))
-                        if fits or fits is None and follows(left, token):
-                            start[end + 1], last[end + 1] = begin, token
-        out: list[int] = []
-        while n:
-            out.append(last[n])
-            n = start[n]
-        out.reverse()
+                if len(self.steps) >= MAX_STEPS:  # begin anew with the state that is reached
+                    reached = self.states[state]
+                    self.reset()
+                    state, steps, output = self._state(reached), self.steps.get, self.output
+                step = self._step(state, byte)
+            state = step & (1 << STATE_BITS) - 1
+            if step >> STATE_BITS:
+                out += output[step >> STATE_BITS]
+        out += self.flushed[state]
         return out
 
 

@@ -432,6 +432,24 @@ def test_transducer_small_vocabulary():
             assert machine.encode(data) == [ranks[p] for p in parts]
 
 
+def test_transducer_steps(monkeypatch):
+    """Every piece goes along steps to its end, a reset amid a piece changes nothing, and steps recur."""
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(BYTE_RANKS), special_tokens={})
+    machine = bpe.Transducer(bpe.load_ranks(BYTE_RANKS))
+    rnd = random.Random(9)
+    parts = ["ing", "tion", "the", "er", "an", "ça", "über", "日本", "x", "Q", "0", "ght", "str"]
+    made = []
+    for k in range(6000):
+        piece = " " + "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 6)))
+        before = machine.n_steps
+        assert machine.encode(piece.encode()) == own._encode_single_piece(piece)
+        made.append(machine.n_steps - before)
+    assert sum(made[3000:]) < 0.6 * sum(made[:3000])
+    monkeypatch.setattr(bpe, "MAX_STEPS", 50)
+    for piece in (" " + "".join(rnd.choice(parts) for _ in range(300)), "a" * 5000):
+        assert machine.encode(piece.encode()) == own._encode_single_piece(piece) and machine.n_steps <= 51
+
+
 def test_utf8_machine():
     rnd = random.Random(8)
     for _ in range(2000):
