@@ -1,7 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby context words adjust the score.
 
 Base kinds (email, ip, card, phone) are kept whatever their score. Added kinds are iban (mod-97), kept by its
-checksum, and ssn (dashed 3-2-4 digits), a weak pattern that only context words raise above the threshold.
+checksum; ssn (dashed 3-2-4 digits) and secret (32 to 64 hexadecimal digits of many kinds, as keys and tokens are
+written), weak patterns that only context words raise above the threshold; and secret in forms that name themselves.
 
 Offsets count code points, the end exclusive. Patterns are walked so that time is linear in the text.
 Defined results: null and empty texts hold nothing; repeated rows are treated each by itself; added spans that
@@ -22,7 +23,7 @@ from .util import map_texts
 Span = tuple[str, int, int]
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "ssn")
+KINDS = (*BASE_KINDS, "iban", "ssn", "secret")
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -32,11 +33,13 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])")
+_KEY = re.compile(r"(?<![0-9A-Za-z_])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36}|sk_(?:live|test)_[0-9A-Za-z]{24,64})(?![0-9A-Za-z_])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _DIGIT = re.compile(r"[0-9]")
 
 # Score of each kind, context words that raise or lower it, the reach of context in characters.
-SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3}
+SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
 CONTEXT = {
     "email": "mail email contact e-mail write courriel correo",
     "ip": "ip address server host client login",
@@ -44,6 +47,7 @@ CONTEXT = {
     "phone": "phone call tel telephone mobile fax contact telefon teléfono",
     "iban": "iban account bank transfer konto compte cuenta",
     "ssn": "ssn social security",
+    "secret": "token secret key apikey password passwd api auth authorization bearer credential credentials",
 }
 AGAINST = frozenset("version release example sample order isbn part serial".split())
 NEARBY, RAISED, LOWERED, THRESHOLD = 48, 0.35, 0.2, 0.5
@@ -66,6 +70,11 @@ def mod97(iban: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def mixed(digits: str) -> bool:
+    """Digits and letters, ten kinds of them at least: no number, no run, no pattern."""
+    return len(set(digits)) >= 10 and not digits.isdigit() and not digits.isalpha()
+
+
 def _emails(text: str) -> Iterator[Span]:
     free = 0  # a local part reaches back no further than the last match or the last @
     at = text.find("@")
@@ -85,7 +94,8 @@ def base_spans(text: str) -> list[Span]:
     if _DIGIT.search(text) is None:
         return spans
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        parts = [p.lstrip("0") for p in m[0].split(".")]  # of any length, so only short ones become numbers
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             spans.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -109,18 +119,21 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """All confirmed spans with their scores, by kind as listed, then start."""
     base = base_spans(text)
     more: list[Span] = []
+    sure: set[Span] = set()
     if _DIGIT.search(text) is not None:
         more = [("iban", *m.span()) for m in _IBAN.finditer(text) if mod97(m[0])]
         more += [("ssn", *m.span()) for m in _SSN.finditer(text)]
+        sure = {("secret", *m.span()) for m in _KEY.finditer(text)}
+        more += sorted([*sure, *(("secret", *m.span()) for m in _HEX.finditer(text) if mixed(m[0]))], key=lambda x: x[1])
         if more:
             taken = sorted((s, e) for _, s, e in base)
             more = [x for x in more if not any(s < x[2] and x[1] < e for s, e in taken)]
     scored = [(*s, score(text, s)) for s in base]
-    return scored + [x for x in ((*s, score(text, s)) for s in more) if x[3] >= THRESHOLD]
+    return scored + [x for x in ((*s, score(text, s)) for s in more) if x[3] >= THRESHOLD or x[:3] in sure]
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of the base kinds, n_added, the spans as kind:start:end and their scores."""
+    """doc_id, counts of the base kinds, n_added, n_spans, the spans as kind:start:end and their scores."""
 
     def row(doc_id: object, text: bytes | None) -> tuple:
         spans = find_spans(text.decode()) if text else []
@@ -131,18 +144,18 @@ def pii_spans(docs: DataFrame) -> DataFrame:
             if kind in counts:
                 counts[kind] += 1
         base, every = ",".join(written[True]), ",".join(written[True] + written[False])
-        return doc_id, *counts.values(), len(written[False]), base, every, ",".join(f"{s[3]:g}" for s in spans)
+        return doc_id, *counts.values(), len(written[False]), len(spans), base, every, ",".join(f"{s[3]:g}" for s in spans)
 
     kind = "long" if docs.schema["doc_id"].dataType.simpleString() == "bigint" else docs.schema["doc_id"].dataType.simpleString()
     return map_texts(
         docs.select("doc_id", F.col("text").cast("string").alias("text")), ["doc_id", "text"], row,
-        f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_added long, base string, spans string, scores string",
+        f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, n_added long, n_spans long, base string, spans string, scores string",
     )
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     found = pii_spans(docs)
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", "scores")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added", "n_spans", "scores")
 
 
 def mask(text: str) -> str:

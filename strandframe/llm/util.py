@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Where no checkpoint folder is configured (tests on one machine).
+#: For sessions that run in one process on one machine and configure no folder, such as tests and benches.
 LOCAL_CHECKPOINTS = "/tmp/strandframe-checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; one of our own only where it is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir. A session of one process may do without and gets a folder of
+    its own; on a cluster that would lie on one machine's disk, so there it is an error."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
         context.setCheckpointDir(root or LOCAL_CHECKPOINTS)

@@ -350,8 +350,23 @@ def test_pii_added(spark, rows):
     assert "[CARD]" in next(r["text"] for r in masked if r["doc_id"] == 200)
 
 
+def test_pii_long_zeros():
+    """Parts of any number of zeros are small numbers; parts of many other digits are not read as numbers at all."""
+    zeros = "0" * 5000
+    for text, n in ((f"{zeros}.1.1.1", 1), (f"1.{zeros}255.1.{zeros}", 1), (f"1.{zeros}256.1.1", 0), (f"{'9' * 5000}.1.1.1", 0)):
+        assert [k for k, *_ in pii.base_spans(text)].count("ip") == n
+
+
+def test_pii_secrets():
+    digest = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    assert [(k, a, b) for k, a, b, _ in pii.find_spans(f'token = "{digest}"')] == [("secret", 9, 49)]
+    assert pii.find_spans(f"commit {digest} in the log") == [] and pii.find_spans("token " + "ab" * 20) == [] and pii.find_spans("key " + "12345678" * 5) == []
+    assert [k for k, *_ in pii.find_spans("AKIA" + "Q7" * 8)] == ["secret"]
+    assert pii.mask(f"api key: {digest}.") == "api key: [SECRET]."
+
+
 def test_pii_linear():
-    pii.find_spans("a" * 200_000 + "@" * 50_000 + "1." * 100_000 + "9" * 100_000 + "+1 " * 50_000)
+    pii.find_spans("a" * 200_000 + "@" * 50_000 + "1." * 100_000 + "9" * 100_000 + "+1 " * 50_000 + "0" * 100_000 + ".1.1.1 " + "f" * 100_000 + " AKIA" * 20_000)
 
 
 # 7
