@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -391,9 +392,32 @@ def test_token_counts(docs, rows, none):
 # 8
 
 
+def brute_path(key, tree):
+    """Down the tree: the hash of key and path as Spark chains them, -ln(uniform) / weight, the least of the children."""
+
+    def drawn(path, weight):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        return -math.log(((xxhash.xxh64_intdigest(path.encode(), seed) >> 11) + 0.5) / 2**53) / weight
+
+    chosen = ""
+    for level in range(3):
+        weights = defaultdict(float)
+        for s in tree:
+            names = f"{s.region}/{s.rack}/{s.number}".split("/")
+            if s.weight > 0 and "/".join(names[:level]) == chosen:
+                weights["/".join(names[: level + 1])] += s.weight
+        chosen = min(weights, key=lambda p: (drawn(p, weights[p]), p))
+    return chosen.split("/")
+
+
 def test_sharding(spark, docs, rows, none):
-    out = sharding.shard_documents(docs.selectExpr("*", "1 as shard", "2 as slot")).collect()
-    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    out = sharding.shard_documents(docs.selectExpr("*", "1 as shard", "2 as slot", "3 as moved")).collect()
+    want = Counter()
+    for r in rows:
+        region, rack, shard = brute_path(r[0], sharding.grown_tree(8))
+        grown = brute_path(r[0], sharding.grown_tree(9))[2]
+        want[(r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode()), region, rack, int(shard), int(grown))] += 1
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["region"], r["rack"], r["shard"], r["grown_shard"]) for r in out) == want
     slots = defaultdict(list)
     for r in out:
         slots[r["shard"]].append(r["slot"])
@@ -401,16 +425,46 @@ def test_sharding(spark, docs, rows, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_slots_of_copies(spark):
+    """Rows that are equal in all columns, far more than a task numbers at once."""
+    rows = spark.createDataFrame([(5, 1)] * 70 + [(i, i % 3) for i in range(40)] + [(None, 1)] * 9, "doc_id long, shard int")
+    slots = defaultdict(list)
+    for r in sharding.with_slots(rows, buckets=4, copies=8).collect():
+        slots[r["shard"]].append((r["slot"], r["doc_id"]))
+    assert all(sorted(s for s, _ in v) == list(range(len(v))) for v in slots.values())
+    assert Counter(d for v in slots.values() for _, d in v) == Counter(r["doc_id"] for r in rows.collect())
+
+
 def test_sharding_movement(spark):
     ids = spark.range(40_000).selectExpr("id as doc_id", "'x' as text")
-    rows = sharding.place(ids).collect()
+    rows = sorted(sharding.place(ids).collect())
+    for r in rows[::7]:
+        assert [r["region"], r["rack"], str(r["shard"])] == brute_path(r["doc_id"], sharding.grown_tree(8))
     counts = Counter(r["shard"] for r in rows)
     assert set(counts) == set(range(8)) and all(abs(n - 5000) < 400 for n in counts.values())
     assert all(r["grown_shard"] in (r["shard"], 8) for r in rows)
     assert abs(sum(r["grown_shard"] == 8 for r in rows) - 40_000 / 9) < 400
-    heavier = [sharding.Shard(s.number, s.region, s.rack, 3.0 if s.number == 5 else 1.0) for s in sharding.even_tree(8)]
-    moved = [(a["shard"], b["shard"]) for a, b in zip(sorted(rows), sorted(sharding.place(ids, tree=heavier).collect())) if a["shard"] != b["shard"]]
-    assert moved and all(b == 5 for _, b in moved)
+    # the tree of one more shard is the grown tree
+    assert [r["grown_shard"] for r in rows] == [r["shard"] for r in sorted(sharding.place(ids, 9).collect())]
+
+    def moves(weights):
+        tree = [sharding.Shard(s.number, s.region, s.rack, weights.get(s.number, 1.0)) for s in sharding.even_tree(8)]
+        return [(a, b) for a, b in zip(rows, sorted(sharding.place(ids, tree=tree).collect())) if a["shard"] != b["shard"]]
+
+    # a heavier shard takes keys into its region, into its rack from others of the region, and into itself
+    moved = moves({5: 3.0})
+    home = next(s for s in sharding.even_tree(8) if s.number == 5)
+    assert moved and all(b["region"] == home.region for _, b in moved)
+    assert all(b["rack"] == home.rack for a, b in moved if a["region"] == home.region)
+    assert all(b["shard"] == 5 for a, b in moved if (a["region"], a["rack"]) == (home.region, home.rack))
+    # where a rack's sum stays, keys move within that rack only
+    rack = [s.number for s in sharding.even_tree(8) if (s.region, s.rack) == (home.region, home.rack)]
+    moved = moves({5: 1.5} | {n: 0.5 for n in rack if n != 5})
+    assert moved and all((a["region"], a["rack"]) == (b["region"], b["rack"]) == (home.region, home.rack) for a, b in moved)
+    # a rack that empties gives its keys away and moves no others
+    moved = moves({n: 0.0 for n in rack})
+    assert {a["shard"] for a, _ in moved} >= set(rack)
+    assert all(a["region"] == home.region for a, _ in moved) and not any(b["shard"] in rack for _, b in moved)
 
 
 # 9
