@@ -376,10 +376,32 @@ def test_pii_linear():
 def test_splices():
     rnd = random.Random(3)
     model = tokencount.PieceEncoder(PIECE_MODEL, chunk=50, overlap=4)
-    assert model.exact
     for k in range(400):
         text = text_of(rnd, rnd.randint(0, 150)) + ("a" * rnd.randint(0, 300) if k % 5 == 0 else "") + ("▁ x▁" if k % 7 == 0 else "")
         assert model.ids(text) == model.model.encode(text)
+    # of chunks with nothing stable between them the whole rest is encoded
+    for text in ("a" * 1000, "a" * 333 + " b" * 40 + "a" * 500, "日本語" * 200, " x" + ("a" * 700 + "\n") * 9):
+        assert model.ids(text) == model.model.encode(text)
+
+
+def test_splices_of_documents(spark):
+    """With production parameters most documents are spliced, and from more than two chunks."""
+    model = tokencount.PieceEncoder(PIECE_MODEL)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    parts = [list(model.splices(t)) for t in texts]
+    assert all([i for part in p for i in part] == model.model.encode(t) for p, t in zip(parts, texts))
+    assert sum(len(p) > 1 for p in parts) > 0.6 * len(texts) and all(len(p) <= 1 + len(t) / tokencount.CHUNK_CHARS for p, t in zip(parts, texts))
+
+
+def test_models_that_cannot_be_spliced(tmp_path):
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(PIECE_MODEL, "rb") as f:
+        proto = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    proto.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "other.model").write_bytes(proto.SerializeToString())
+    with pytest.raises(ValueError, match="spliced"):
+        tokencount.PieceEncoder(str(tmp_path / "other.model"))
 
 
 def test_token_counts(docs, rows, none):
