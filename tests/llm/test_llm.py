@@ -17,6 +17,7 @@ import pytest
 import sentencepiece
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, chat, components, decontam, fmindex, licenses, pii, quality, sharding, simhash, tokencount, warc
 from strandframe.llm.queries import BYTE_RANKS, PIECE_MODEL
@@ -283,13 +284,20 @@ def test_remove_phrases_in_blocks(spark):
 # 5
 
 
-def test_warc(spark):
+@pytest.fixture(scope="module")
+def pages(spark):
     rnd = random.Random(4)
     big = "".join(chr(rnd.choice([97, 233, 26085, 128512, 13, 10])) for _ in range(120_000))
-    pages = [(i, f"http://x/{i} \r\n", t) for i, t in enumerate(["a", "", None, "a", big, "WARC/1.1\r\n\r\n", "é" * 5000, big, "b" * 32_600, "0\r\n\r\n"])] + [(3, None, "a"), (None, "u", "a"), (None, "u", "only")]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 as sha1", "2 as n").repartition(3)
-    path = shared_folder(spark, "warc-test")
-    got = Counter(tuple(r) for r in warc.round_trip(df, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified").collect())
+    rows = [(i, f"http://x/{i} \r\n", t) for i, t in enumerate(["a", "", None, "a", big, "WARC/1.1\r\n\r\n", "é" * 5000, big, "b" * 32_600, "0\r\n\r\n"])] + [(3, None, "a"), (None, "u", "a"), (None, "u", "only")]
+    # rows that repeat in all columns, a response and a revisit among them, and an id with two payloads
+    rows += [rows[8], rows[8], rows[4], (8, "other", "c" * 3000), (8, None, "b" * 32_600)]
+    return rows, spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as sha1", "2 as n", "3 as name").repartition(3)
+
+
+PAGE = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"]
+
+
+def brute_pages(pages):
     top = {}
     for page, _, html in pages:
         if page is not None:
@@ -300,17 +308,62 @@ def test_warc(spark):
         first = top.get(html or "")
         response = first is None or page == first
         want[(page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if response else "revisit", None if response else first, True)] += 1
-    assert got == want
-    assert warc.round_trip(df.limit(0), shared_folder(spark, "warc-test")).count() == 0
+    return want
+
+
+@pytest.mark.parametrize("run", [warc.RUN_BYTES, 5000, 0])
+def test_warc(spark, pages, run):
+    """Segments joined where they are read, in runs, or not at all: then all are shuffled."""
+    rows, df = pages
+    path = shared_folder(spark, "warc-test")
+    warc.write_archives(df, path)
+    records = warc.read_records(spark, path, run)
+    assert Counter(tuple(r) for r in warc.reassemble(records).select(PAGE).collect()) == brute_pages(rows)
+    names = {r["name"] for r in records.where("kind = 'response'").collect()}
+    assert {r["refers_to"] for r in records.where("kind = 'revisit'").collect()} <= names
+
+
+def test_warc_repeats_itself(spark, pages):
+    """A task that is run again writes the same records."""
+
+    def told():
+        return Counter(b for r in warc.archive_rows(pages[1]).collect() for b in re.split(rb"(?=WARC/1\.1\r\nWARC-Type)", (r["value"] + "\r\n").encode()))
+
+    assert told() == told()
+
+
+def test_warc_empty(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(none, shared_folder(spark, "warc-test")).count() == 0
+
+
+def test_warc_inflated():
+    import gzip
+
+    data = random.Random(3).randbytes(100_000) + b"x" * 900_000
+    members = gzip.compress(data[:300_000]) + gzip.compress(b"") + gzip.compress(data[300_000:])
+    for given, step in ((members, 1 << 18), (members, 1000), (data, 4096), (gzip.compress(data), 1 << 20)):
+        assert b"".join(warc.inflated(memoryview(given), step)) == data
+
+
+def test_warc_most_pages_are_segmented(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    out = warc.round_trip(pages, shared_folder(spark, "warc-test")).where("record_type = 'response'").collect()
+    assert sum(r["segments"] > 1 for r in out) > 0.9 * len(out) and all(r["verified"] for r in out)
 
 
 def test_warc_damage(spark):
     path = shared_folder(spark, "warc-test")
-    warc.write_archives(spark.createDataFrame([(1, "u", "x" * 200_000), (2, "u", "y" * 200_000)], "page_id long, url string, html string"), path)
-    records = warc.read_records(spark, path)
+    warc.write_archives(spark.createDataFrame([(1, "u", "x" * 200_000), (2, "u", "y" * 200_000), (0, "v", "x" * 200_000)], "page_id long, url string, html string"), path)
+    records = warc.read_records(spark, path, 0)
     assert records.where("kind = 'continuation'").count() > 4
-    lost = warc.reassemble(records.where("not (page_id = 1 and segment = 3)"))
-    assert {r["page_id"]: r["verified"] for r in lost.collect()} == {1: False, 2: True}
+    lost = {r["page_id"]: r for r in warc.reassemble(records.where("not (page_id = 1 and segment = 3)")).collect()}
+    assert {k: r["verified"] for k, r in lost.items()} == {0: False, 1: False, 2: True}  # 0 revisits 1
+    assert lost[0]["refers_to"] == 1 and lost[0]["payload_bytes"] == 200_000
+    twice = warc.reassemble(records.unionByName(records.where("page_id = 2 and segment < 5")))
+    assert sorted((r["page_id"], r["verified"]) for r in twice.collect()) == [(0, True), (1, True), (2, False), (2, True)]
+    short = warc.reassemble(records.withColumn("total", F.when(F.col("page_id") == 2, F.col("total") + 1).otherwise(F.col("total"))))
+    assert {r["page_id"]: r["verified"] for r in short.collect()} == {0: True, 1: True, 2: False}
 
 
 # 6
