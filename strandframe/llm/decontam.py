@@ -1,16 +1,18 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a run of documents of about SHARD_BYTES within a partition. Its words are coded over the alphabet of
-the benchmark's words; a word outside it ends a sequence, since no test phrase can hold it, and sequences shorter
-than the shortest phrase are not indexed. Test phrases are searched backward by wavelet-tree ranks, all at once;
-occurrences are located from sampled suffix positions and merged into removal spans.
+A shard is a run of documents of about SHARD_BYTES within a partition, over the borders of batches. Its words are coded
+over its own vocabulary and indexed once, whole: a wavelet matrix of what precedes each suffix, and sampled suffix
+positions. Test phrases are coded by the shard's vocabulary (a phrase with a word that the shard lacks is in no document
+of it), searched backward by ranks, all at once, located from the samples and merged into removal spans.
 
-The phrases go to the executors in blocks of at most BLOCK_BYTES of benchmark text, one map over the documents for
-each block, so that what an executor holds is bounded however large the benchmark grows. No stage shuffles.
+The benchmark is cut into blocks of at most BLOCK_BYTES of text, each broadcast by itself. An index meets one block after
+the other, and a worker drops each before it takes the next: what it holds is one shard and one block, however large the
+benchmark grows. The whole is one map over the documents; no stage shuffles them.
 
 Defined results: null and empty texts, of documents or items, have no words; an item with a null id marks words
 but is not counted among the items; rows with the same item id are one item; repeated document rows are treated
-each by itself; an empty benchmark hits nothing; columns beyond those named are left alone.
+each by itself; an empty benchmark hits nothing; a document longer than a shard is one; columns beyond those named are
+left alone.
 """
 
 from __future__ import annotations
@@ -18,80 +20,103 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StructField, StructType
 
 from .fmindex import FMIndex
-from .util import fresh, shared_folder, utf8
+from .util import utf8
 
 WINDOW = 10
-SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Lower-cases A-Z and blanks the ASCII characters that are in no word.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 WORD = re.compile(rb"[^ ]+")
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(FOLD).split()
+
+
+def coder() -> defaultdict:
+    """Numbers words from 1 as they come."""
+    return defaultdict(count(1).__next__)
+
+
 class Phrases:
-    """The windows of a block of benchmark items, as arrays of word codes by length."""
+    """The windows of a block of benchmark items: distinct runs of words, by length, and the items that hold each."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], window: int = WINDOW):
-        self.code: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set] = defaultdict(set)
-        for item, text in items:
-            words = (text or b"").translate(FOLD).split()
-            codes = [self.code.setdefault(w, len(self.code) + 1) for w in words]
-            for i in range(max(1, len(codes) - window + 1) if codes else 0):
-                windows[tuple(codes[i : i + window])].add(item)
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
-        for length in sorted({len(w) for w in windows}):
-            same = [w for w in windows if len(w) == length]
-            self.by_length.append((np.array(same, np.int64), [sorted(str(x) for x in windows[w] if x is not None) for w in same]))
-        self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
-
-    def hits(self, texts: list[bytes]) -> tuple[list[int], dict[int, tuple[np.ndarray, set[str]]]]:
-        """Words of each text; for texts with hits, by index: merged spans of words [start, end) and item ids."""
-        counts, pieces, places, size = [], [], [], 0
-        code = self.code.get
-        for k, text in enumerate(texts):
-            words = text.translate(FOLD).split()
-            counts.append(len(words))
-            if len(words) < self.shortest or not self.shortest:
-                continue
-            codes = np.fromiter(map(code, words, repeat(0)), np.int64, len(words))
-            cuts = np.concatenate([[-1], np.flatnonzero(codes == 0), [len(codes)]])
-            long = np.flatnonzero(np.diff(cuts) > self.shortest)
-            for i in long.tolist():
-                start, end = int(cuts[i]) + 1, int(cuts[i + 1])
-                pieces += [codes[start:end], _END]
-                places.append((size, k, start))
-                size += end - start + 1
-        found: dict[int, tuple[list, set]] = defaultdict(lambda: ([], set()))
-        if pieces:
-            index = FMIndex(np.concatenate(pieces), len(self.code) + 1)
-            begins, docs, offsets = (np.array(x, np.int64) for x in zip(*places))
-            for patterns, names in self.by_length:
-                length = patterns.shape[1]
-                low, high = index.search(patterns)
-                n = np.maximum(high - low, 0)
-                which = np.repeat(np.arange(len(patterns)), n)
-                rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                at = index.locate(rows)
-                piece = np.searchsorted(begins, at, "right") - 1
-                starts = at - begins[piece] + offsets[piece]
-                for w, d, s in zip(which.tolist(), docs[piece].tolist(), starts.tolist()):
-                    spans, ids = found[d]
-                    spans.append((s, s + length))
-                    ids.update(names[w])
-        return counts, {d: (merge(spans), ids) for d, (spans, ids) in found.items()}
-
-
-_END = np.zeros(1, np.int64)
+        code = coder()
+        texts = [np.fromiter(map(code.__getitem__, words_of(text or b"")), np.int32) for _, text in items]
+        self.words = list(code)
+        self.names = [None if item is None else str(item) for item, _ in items]
+        #: The runs, the bounds of their lists of items, and these lists end to end.
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for length in sorted({min(window, len(t)) for t in texts if len(t)}):
+            mine = [k for k, t in enumerate(texts) if min(window, len(t)) == length]
+            runs = np.concatenate([np.lib.stride_tricks.sliding_window_view(texts[k], length) for k in mine])
+            owner = np.repeat(mine, [len(texts[k]) - length + 1 for k in mine])
+            distinct, which = np.unique(runs, axis=0, return_inverse=True)
+            pairs = np.unique(np.stack([which.reshape(-1), owner]), axis=1)  # by run, then item
+            self.by_length.append((distinct, np.searchsorted(pairs[0], np.arange(len(distinct) + 1)), pairs[1]))
+
+
+class Shard:
+    """The words of some texts under an FM-index."""
+
+    def __init__(self, texts: list[bytes]):
+        code = coder()
+        end = np.zeros(1, np.int32)
+        parts: list[np.ndarray] = []
+        for text in texts:
+            parts += [np.fromiter(map(code.__getitem__, words_of(text)), np.int32), end]
+        self.code = dict(code)
+        sizes = np.array([len(p) for p in parts[::2]], np.int64)
+        self.counts = sizes.tolist()
+        self.begins = np.cumsum(sizes + 1) - sizes - 1
+        self.index = FMIndex(np.concatenate(parts), len(self.code) + 1) if self.code else None
+
+    def hits(self, phrases: Phrases) -> dict[int, tuple[list[tuple[int, int]], set[str]]]:
+        """For texts with hits, by index: merged spans of words [start, end) and item ids."""
+        spans: dict[int, list] = defaultdict(list)
+        ids: dict[int, set[str]] = defaultdict(set)
+        if self.index is None or not phrases.words:
+            return {}
+        codes = np.fromiter(map(self.code.get, phrases.words, repeat(0)), np.int32, len(phrases.words))
+        codes = np.append(np.zeros(1, np.int32), codes)  # phrases number words from 1
+        for runs, bounds, owners in phrases.by_length:
+            length = runs.shape[1]
+            there = np.flatnonzero((codes[runs] > 0).all(axis=1))
+            low, high = self.index.search(codes[runs[there]])
+            n = np.maximum(high - low, 0)
+            which = np.repeat(there, n)
+            rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+            at = self.index.locate(rows)
+            docs = np.searchsorted(self.begins, at, "right") - 1
+            for d, s in zip(docs.tolist(), (at - self.begins[docs]).tolist()):
+                spans[d].append((s, s + length))
+            for d, w in np.unique(np.stack([docs, which]), axis=1).T.tolist():
+                ids[d].update(name for k in owners[bounds[w] : bounds[w + 1]].tolist() if (name := phrases.names[k]) is not None)
+        return {d: (merge(x), ids[d]) for d, x in spans.items()}
+
+
+def all_hits(texts: list[bytes], blocks: list[Broadcast]) -> tuple[list[int], dict[int, tuple[list[tuple[int, int]], set[str]]]]:
+    """Words of each text, and the hits of all blocks: the index is built once and meets them one after the other."""
+    shard = Shard(texts)
+    found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+    for block in blocks:
+        for d, (spans, ids) in shard.hits(block.value).items():
+            before = found.get(d, ([], set()))
+            found[d] = (merge([*before[0], *spans]), before[1] | ids)
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)  # the worker's copy; it stays on the executor's disk
+    return shard.counts, found
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,68 +130,60 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def benchmark_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple]]:
-    """The distinct items in blocks of at most block_bytes of text (or one item). Each block is fetched by itself when
-    it is wanted; which items it holds is decided by hash, so that the driver never holds more than one."""
+def benchmark_blocks(benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
+    """The distinct items in blocks of about block_bytes of text at most (or one item), each broadcast. Which items a
+    block holds is decided by hash, so that the driver never holds more than one."""
     items = benchmark.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).where("length(text) > 0").distinct()
     total = items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // block_bytes))
-    if n == 1:
-        return [items]
-    return [items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)]
+    context, out = benchmark.sparkSession.sparkContext, []
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
+        out.append(context.broadcast(Phrases([(r["id"], bytes(r["text"])) for r in rows.collect()])))
+        if n > 1:
+            vars(out[-1]).pop("_value", None)  # the driver's copy
+    return out
 
 
-def _shards(stream: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Runs of rows of about SHARD_BYTES of text."""
+def _shards(stream: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[list[pa.RecordBatch], list[bytes]]]:
+    """Runs of rows of about SHARD_BYTES of text, as pieces of the batches they come in."""
+    parts: list[pa.RecordBatch] = []
+    texts: list[bytes] = []
+    size = 0
     for batch in stream:
-        start = size = 0
-        texts: list[bytes] = []
-        for text in utf8(batch.column(column)):
+        start = 0
+        for i, text in enumerate(utf8(batch.column(column))):
             texts.append(text or b"")
             size += len(texts[-1])
             if size >= SHARD_BYTES:
-                yield batch.slice(start, len(texts)), texts
-                start, size, texts = start + len(texts), 0, []
-        if texts:
-            yield batch.slice(start, len(texts)), texts
-
-
-SPANS = pa.list_(pa.int64())
-FOUND = "n_words bigint, n_hit bigint, spans array<bigint>, items array<string>"
+                yield [*parts, batch.slice(start, i + 1 - start)], texts
+                parts, texts, size, start = [], [], 0, i + 1
+        if start < batch.num_rows:
+            parts.append(batch.slice(start))
+    if texts:
+        yield parts, texts
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_hit (words in spans), spans (start, end, start, end ... in words, merged) and items (sorted ids) for each document.
-
-    With several blocks of the benchmark the spans and items found so far travel along with the text.
-    """
+    """doc_id, n_words, n_hit (words in spans), spans (start, end, start, end ... in words, merged) and items (sorted ids) for each document."""
     blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    for k, block in enumerate(blocks):
-        phrases = Phrases([(r["id"], bytes(r["text"])) for r in block.collect()])
-        last = k == len(blocks) - 1
-
-        def search(stream: Iterable[pa.RecordBatch], phrases: Phrases = phrases, last: bool = last, k: int = k) -> Iterator[pa.RecordBatch]:
-            for part, texts in _shards(stream, 1):
-                counts, found = phrases.hits(texts)
-                spans = [list(sum(found[i][0], ())) if i in found else [] for i in range(len(texts))]
-                items = [sorted(found[i][1]) if i in found else [] for i in range(len(texts))]
-                if k:
-                    for i, (more_spans, more_items) in enumerate(zip(part.column(4).to_pylist(), part.column(5).to_pylist())):
-                        if more_spans:
-                            pairs = [*zip(more_spans[::2], more_spans[1::2]), *zip(spans[i][::2], spans[i][1::2])]
-                            spans[i], items[i] = list(sum(merge(pairs), ())), sorted({*items[i], *more_items})
-                n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
-                arrays = [pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
-                names = ["n_words", "n_hit", "spans", "items"]
-                if last:
-                    yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", *names])
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *arrays], ["doc_id", "text", *names])
-
-        out = out.mapInArrow(search, f"doc_id {kind}, " + ("" if last else "text string, ") + FOUND)
-    return out
+
+    def search(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts, texts in _shards(stream, 1):
+            counts, found = all_hits(texts, blocks)
+            spans = [list(sum(found[i][0], ())) if i in found else [] for i in range(len(texts))]
+            items = [sorted(found[i][1]) if i in found else [] for i in range(len(texts))]
+            n_hit = [sum(x[1::2]) - sum(x[::2]) for x in spans]
+            begin = 0
+            for part in parts:
+                mine = slice(begin, begin + part.num_rows)
+                begin = mine.stop
+                arrays = [pa.array(counts[mine], pa.int64()), pa.array(n_hit[mine], pa.int64()), pa.array(spans[mine], pa.list_(pa.int64())), pa.array(items[mine], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *arrays], ["doc_id", "n_words", "n_hit", "spans", "items"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(search, f"doc_id {kind}, n_words bigint, n_hit bigint, spans array<bigint>, items array<string>")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -205,70 +222,27 @@ def _replaced(part: pa.RecordBatch, changed: dict[int, bytes], at_text: int, at_
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every benchmark phrase cut from text and n_chars set anew; all columns and rows stay.
 
-    Words that come together around a cut are searched again, until no phrase is left. With several blocks of the
-    benchmark the spans of all are merged before a cut; each round is written to the shared folder, and only the
-    documents that it changed go round again.
+    The spans of all blocks are merged before a cut. Words that come together around a cut are searched again, in the
+    shard of those documents that the cut changed, until none holds a phrase of any block.
     """
     names = docs.columns
     at_text = names.index("text")
     at_chars = names.index("n_chars") if "n_chars" in names else None
     blocks = benchmark_blocks(benchmark, block_bytes=block_bytes)
-    if len(blocks) > 1:
-        return _remove_in_rounds(docs, blocks, at_text, at_chars)
-    phrases = Phrases([(r["id"], bytes(r["text"])) for r in blocks[0].collect()])
 
     def clean(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _shards(stream, at_text):
+        for parts, texts in _shards(stream, at_text):
             todo = dict(enumerate(texts))
             changed: dict[int, bytes] = {}
             while todo:
                 keys = list(todo)
-                _, found = phrases.hits([todo[i] for i in keys])
+                _, found = all_hits([todo[i] for i in keys], blocks)
                 todo = {keys[j]: cut_spans(todo[keys[j]], spans) for j, (spans, _) in found.items()}
                 changed |= todo
-            yield _replaced(part, changed, at_text, at_chars)
+            begin = 0
+            for part in parts:
+                mine = {i - begin: changed[i] for i in range(begin, begin + part.num_rows) if i in changed}
+                begin += part.num_rows
+                yield _replaced(part, mine, at_text, at_chars)
 
     return docs.mapInArrow(clean, docs.schema)
-
-
-def _remove_in_rounds(docs: DataFrame, blocks: list[DataFrame], at_text: int, at_chars: int | None) -> DataFrame:
-    names = docs.columns
-    extra = fresh(docs, "cut")
-    with_spans = StructType([*docs.schema.fields, StructField(extra, ArrayType(LongType()))])
-    with_flag = StructType([*docs.schema.fields, StructField(extra, BooleanType())])
-
-    def cut_once(rows: DataFrame) -> DataFrame:
-        for k, block in enumerate(blocks):
-            phrases = Phrases([(r["id"], bytes(r["text"])) for r in block.collect()])
-            last = k == len(blocks) - 1
-
-            def search(stream: Iterable[pa.RecordBatch], phrases: Phrases = phrases, last: bool = last, k: int = k) -> Iterator[pa.RecordBatch]:
-                for part, texts in _shards(stream, at_text):
-                    _, found = phrases.hits(texts)
-                    spans = {i: x for i, (x, _) in found.items()}
-                    if k:
-                        for i, more in enumerate(part.column(len(names)).to_pylist()):
-                            if more:
-                                spans[i] = merge([*zip(more[::2], more[1::2]), *spans.get(i, [])])
-                    part = part.select(names)
-                    if last:
-                        part = _replaced(part, {i: cut_spans(texts[i], x) for i, x in spans.items()}, at_text, at_chars)
-                        added = pa.array([i in spans for i in range(len(texts))], pa.bool_())
-                    else:
-                        added = pa.array([list(sum(spans.get(i, []), ())) for i in range(len(texts))], SPANS)
-                    yield pa.RecordBatch.from_arrays([*part.columns, added], [*names, extra])
-
-            rows = rows.mapInArrow(search, with_flag if last else with_spans)
-        return rows
-
-    spark = docs.sparkSession
-    done, todo = None, docs
-    while True:
-        path = shared_folder(spark, "decontamination-round")
-        cut_once(todo).write.parquet(path)
-        out = spark.read.schema(with_flag).parquet(path)
-        same = out.where(~F.col(extra)).drop(extra)
-        done = same if done is None else done.unionByName(same)
-        todo = out.where(F.col(extra)).drop(extra)
-        if todo.isEmpty():
-            return done

@@ -9,30 +9,37 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of text in order, by prefix doubling; only suffixes that still tie are sorted again."""
+    """Suffixes of text in order, by prefix doubling from runs of two or three symbols on; only suffixes that still tie
+    are sorted again. Symbols are not negative, the last occurs nowhere else, and so no two suffixes are equal."""
     n = len(text)
-    order = np.argsort(text, kind="stable")
-    sorted_values = text[order]
+    if not n:
+        return np.zeros(0, np.int64)
+    bits = max(1, int(text.max()).bit_length())
+    width = max(1, min(3, 62 // bits))
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= bits
+        key[: n - k] |= text[k:]
+    order = np.argsort(key)
+    key = key[order]
     first = np.empty(n, bool)
-    first[:1] = True
-    np.not_equal(sorted_values[1:], sorted_values[:-1], out=first[1:])
+    first[0] = True
+    np.not_equal(key[1:], key[:-1], out=first[1:])
     # a suffix's rank is the place where its group begins
-    begin = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
-    rank[order] = begin
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank[n] = -1
-    width = 1
     tied = np.flatnonzero(~(first & np.append(first[1:], True)))  # places in order whose group has others
     while len(tied):
         at = order[tied]
-        group = rank[at]
-        after = rank[np.minimum(at + width, n)]
-        by = np.lexsort((after, group))
-        at, group, after = at[by], group[by], after[by]
-        order[tied] = at  # groups keep their places: tied ascends and by goes by group first
+        # groups keep their places: tied ascends and the key goes by group first
+        key = (rank[at] << 32) + rank[np.minimum(at + width, n)] + 1
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[tied] = at
         fresh = np.empty(len(tied), bool)
-        fresh[:1] = True
-        fresh[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        fresh[0] = True
+        np.not_equal(key[1:], key[:-1], out=fresh[1:])
         rank[at] = np.maximum.accumulate(np.where(fresh, tied, 0))
         tied = tied[~(fresh & np.append(fresh[1:], True))]
         width *= 2
@@ -100,16 +107,16 @@ class FMIndex:
         self.n = len(text)
         # each 0 sorts as a symbol of its own, by place, so that no two suffixes tie past the end of a sequence
         ends = np.flatnonzero(text == 0)
-        unique = text + len(ends)
+        unique = text.astype(np.int64) + len(ends)
         unique[ends] = np.arange(len(ends))
         order = suffix_array(unique)
         before = text[order - 1]  # of the first suffix the last symbol, an end
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
-        self.ranks = WaveletMatrix(before.astype(np.int64), max(1, int(n_symbols - 1).bit_length()))
+        self.ranks = WaveletMatrix(before.astype(np.int32), max(1, int(n_symbols - 1).bit_length()))
         # sampled: every sample-th position and each that follows an end, which no walk can leave
         kept = (order % sample == 0) | (before == 0)
         self.sampled = Bits(kept.astype(np.uint8))
-        self.samples = order[kept]
+        self.samples = order[kept].astype(np.int32)
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix rows [low, high) of each pattern by backward search; patterns is (count, length)."""

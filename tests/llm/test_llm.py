@@ -12,6 +12,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -207,6 +208,15 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - 2) if (text[i : i + 3] == p).all()]
 
 
+def test_suffix_array():
+    rng = np.random.default_rng(2)
+    for top in (2, 5, 1 << 21, 1 << 40):
+        for n in (1, 2, 3, 7, 300):
+            text = np.append(rng.integers(1, top, n), 0)
+            text[: n // 2] = text[n // 2 : 2 * (n // 2)]  # a long repeat
+            assert fmindex.suffix_array(text).tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
+
+
 def words4(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -251,6 +261,47 @@ def test_contamination(leaks, block):
     assert by_id(decontam.contamination(docs, benchmark), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == got
 
 
+def test_shards_span_batches(monkeypatch):
+    """Shards are runs of rows over the borders of batches, closed by size; whatever their size the hits are the same."""
+    rnd = random.Random(4)
+    items = [(1, "a b c d e f g h i j k l"), (2, "x y"), (None, "x y z")]
+    texts = [None if i % 11 == 0 else " ".join(rnd.choice([items[0][1], "x", "y", "z", "a b c d e f g h i j", "é"]) for _ in range(rnd.randint(0, 9))) for i in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, min(60, k + 7))), pa.array(texts[k : k + 7], pa.string())], ["doc_id", "text"]) for k in range(0, 60, 7)]
+    phrases = decontam.Phrases([(i, t.encode()) for i, t in items])
+    for size in (1, 50, 400, 1 << 20):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        got, shards = [], list(decontam._shards(batches, 1))
+        for parts, mine in shards:
+            assert sum(p.num_rows for p in parts) == len(mine)
+            found = decontam.Shard(mine).hits(phrases)
+            got += [(sum(b - a for a, b in found[i][0]), found[i][1]) if i in found else (0, set()) for i in range(len(mine))]
+        assert len(shards) == 1 if size == 1 << 20 else len(shards) > 3
+        want = [brute_contamination(t, items) for t in texts]
+        assert [g[0] for g in got] == [w[1] for w in want] and [len(g[1]) for g in got] == [w[2] for w in want]
+
+
+def test_blocks_are_dropped(spark, leaks):
+    """A worker holds one block of the benchmark at a time."""
+    _, _, docs, benchmark = leaks
+    blocks = decontam.benchmark_blocks(benchmark, block_bytes=700)
+    texts = [r["text"].encode() for r in docs.where("text is not null").limit(5).collect()]
+
+    class Watched:
+        held = most = 0
+
+        def __init__(self, block):
+            self.block = block
+
+        @property
+        def value(self):
+            self._value = self.block.value
+            Watched.most = max(Watched.most, sum("_value" in vars(b) for b in watched))
+            return self._value
+
+    watched = [Watched(b) for b in blocks]
+    assert len(watched) > 2 and decontam.all_hits(texts, watched) == decontam.all_hits(texts, blocks) and Watched.most == 1
+
+
 def test_remove_phrases(leaks, none):
     every, items, docs, benchmark = leaks
     cleaned = decontam.remove_phrases(docs.selectExpr("*", "1 as spans"), benchmark)
