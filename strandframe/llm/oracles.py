@@ -13,22 +13,28 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def quality_sql() -> str:
-    """Base counts, then Jensen-Shannon distances of class and common-word counts from the sums by language."""
+    """Base counts, then Jensen-Shannon distances of class and common-word counts from the sums of the other documents."""
     # as many characters of each class as a pattern removes
-    patterns = ["[a-z]", "[A-Z]", "[0-9]", r"[ \t\x0B\x0C\r]", r"\n", "[.,;:!?]", "['\"()\\[\\]\\-_/]", r"[#*$%&|<>=+@\\^`{}~]", r"[\x00-\x08\x0E-\x1F\x7F]", r"[\x{80}-\x{23F}]", r"[\x{240}-\x{7FF}]", r"[\x{800}-\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]"]
+    patterns = ["[a-z]", "[A-Z]", "[0-9]", r"[ \t\x0B\x0C\r]", r"\n", "[.,;:!?]", "['\"()\\[\\]\\-_/]", r"[#*$%&<>=+@`{}]", r"[|\\^~]", r"[\x00-\x08\x0E-\x1F\x7F]", r"[\x{80}-\x{23F}]", r"[\x{240}-\x{7FF}]", r"[\x{800}-\x{FFFF}]", r"[\x{10000}-\x{10FFFF}]"]
     counts = ", ".join(f"length(t) - length(regexp_replace(t, {quoted(p)}, '', 'g'))" for p in patterns)
     known = ", ".join(f"({quoted(lang)}, {quoted(w)})" for lang, words in quality.COMMON_WORDS.items() for w in words.split())
     listed = ", ".join(quoted(x) for x in quality.COMMON_WORDS)
 
-    def distance(name: str, source: str) -> str:
-        return f"""{name}_ref as (select lang, k, sum(n)::double as n from {source} group by all),
-{name}_sum as (select doc_id, sum(n)::double as total from {source} group by 1), {name}_all as (select lang, sum(n) as total from {name}_ref group by 1),
-{name}_p as (select d.doc_id, r.k, coalesce(h.n, 0) / greatest(s.total, 1) as p, r.n / a.total as q from d join {name}_ref r on r.lang = d.lang
-  join {name}_all a on a.lang = d.lang join {name}_sum s on s.doc_id = d.doc_id left join {source} h on h.doc_id = d.doc_id and h.k = r.k),
-{name}_d as (select doc_id, sqrt(greatest(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2, 0)) as {name} from {name}_p group by 1)"""
+    def distance(name: str, source: str, cells: int, least: int, pooled: bool) -> str:
+        everything = f" union all select {quoted(quality.ALL)}, k, sum(n)::double from {source} group by k" if pooled else ""
+        fallback = f"when coalesce(e.total, 0) - s.total >= {least} then {quoted(quality.ALL)}" if pooled else ""
+        return f"""{name}_ref as (select lang, k, sum(n)::double as n from {source} group by all{everything}),
+{name}_all as (select lang, sum(n) as total from {name}_ref group by 1), {name}_sum as (select doc_id, any_value(lang) as lang, sum(n)::double as total from {source} group by 1),
+{name}_key as (select doc_id, s.total, case when coalesce(a.total, 0) - s.total >= {least} then s.lang {fallback} end as ref
+  from {name}_sum s left join {name}_all a using (lang) left join {name}_all e on e.lang = {quoted(quality.ALL)}),
+{name}_p as (select x.doc_id, x.total, coalesce(h.n, 0) / greatest(x.total, 1) as p, (r.n - coalesce(h.n, 0)) / (a.total - x.total) as q from {name}_key x join {name}_ref r on r.lang = x.ref
+  join {name}_all a on a.lang = x.ref left join {source} h on h.doc_id = x.doc_id and h.k = r.k),
+{name}_d as (select doc_id, any_value(total) as total, sqrt(greatest(sum(case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2
+  - {cells - 1} / (8 * ln(2) * greatest(any_value(total), 1)), 0)) as {name} from {name}_p group by 1)"""
 
     return f"""
-with d as (select doc_id, coalesce(text, '') as t, case when lang in ({listed}) then lang else 'other' end as lang from documents),
+with c as (select doc_id, coalesce(text, '') as t, regexp_extract(coalesce(lang, ''), '^([a-z]{{2,3}})(?s:[-_].*)?$', 1) as code from documents),
+d as (select doc_id, t, case when code = '' then {quoted(quality.OTHER)} else code end as lang from c),
 w as (select doc_id, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as words from d),
 x as (select doc_id, unnest(range(1, len(words) - 6)) as i, words from w where len(words) >= 8),
 win as (select doc_id, i, array_to_string(words[i:i + 7], ' ') as s from x),
@@ -38,18 +44,19 @@ lines as (select doc_id, unnest(string_split(t, chr(10))) as line from d),
 dups as (select doc_id, sum(n - 1) as n_dup_lines from (select doc_id, line, count(*) as n from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by all) group by 1),
 chars as (select doc_id, lang, unnest(range({len(patterns)})) as k, unnest([{counts}]) as n from d),
 known(lang, word) as (values {known}),
-plain as (select doc_id, lang, unnest(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as word from d where lang <> 'other'),
+plain as (select doc_id, lang, unnest(regexp_extract_all(translate(t, '{UPPER}', '{LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as word from d where lang in ({listed})),
 common as (select p.doc_id, p.lang, coalesce(k.word, '*') as k, count(*) as n from plain p left join known k on k.lang = p.lang and k.word = p.word group by all),
-{distance("dc", "chars")},
-{distance("dw", "common")},
+{distance("dc", "chars", len(patterns), quality.MIN_REFERENCE_CHARS, True)},
+{distance("dw", "common", quality.N_COMMON, quality.MIN_REFERENCE_WORDS, False)},
 base as (select d.doc_id, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols, coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words, length(t) as n_chars
   from d join w using (doc_id) left join hit using (doc_id) left join dups using (doc_id)),
-judged as (select *, n_words < {quality.MIN_BASE_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from base)
-select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (n_chars >= {quality.MIN_CHARS} and dc >= {quality.MAX_CHAR_DISTANCE})
-  and not coalesce(n_chars >= {quality.MIN_CHARS} and s.total >= {quality.MIN_WORDS} and dw >= {quality.MAX_WORD_DISTANCE}, false) as kept
-from judged b left join dc_d using (doc_id) left join dw_d using (doc_id) left join dw_sum s using (doc_id)"""
+judged as (select *, n_words < {quality.MIN_BASE_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed from base),
+measured as (select b.*, case when n_chars >= {quality.MIN_CHARS} then dc end as char_distance, case when n_chars >= {quality.MIN_CHARS} and w.total >= {quality.MIN_WORDS} then dw end as word_distance
+  from judged b left join dc_d using (doc_id) left join dw_d w using (doc_id))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(char_distance >= {quality.MAX_CHAR_DISTANCE}, false) and not coalesce(word_distance >= {quality.MAX_WORD_DISTANCE}, false) as kept,
+  round(char_distance, 4) as char_distance, round(word_distance, 4) as word_distance from measured"""
 
 
 def license_sql() -> str:

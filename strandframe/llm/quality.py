@@ -1,16 +1,21 @@
 """Quality rules by distribution divergence.
 
 A document's character-class and common-word histograms are compared with references of its language by
-Jensen-Shannon distance. The references are sums of the histograms of all documents of that language, so they
-follow the corpus; minimum lengths guard short texts, whose histograms say little.
-
-Defined results: null and empty texts have no words and fail the base rule; a null or unknown language is
-compared with the pooled reference of all such documents, by character classes only; repeated rows are judged
+Jensen-Shannon distance. A reference is the sum of the histograms of all other documents of that language, so it
+follows the corpus, but no document is its own measure; one that holds too little is replaced by the sum over all
+languages (characters), or not used (words). A sample of n from a distribution of k cells lies (k - 1) / (8 n ln 2) from
+it on average (in bits, as divergence): that much is subtracted, or short texts would look unlike their language. Minimum
+lengths guard texts whose histograms say nothing at all.
+
+Defined results: null and empty texts have no words and fail the base rule; a language is a code of two or three
+letters (what follows a hyphen or underscore doesn't count), and all documents with any other value or null are one
+language; texts of languages without a word list are compared by character classes only; repeated rows are judged
 each by itself; an empty table gives an empty result; columns beyond doc_id, text and lang are left alone.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -32,31 +37,33 @@ COMMON_WORDS = {
     "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi",
     "nl": "de van het een en in is dat op te zijn met voor niet die aan er om ook als dan maar bij uit door",
 }
-OTHER = "other"
+OTHER, ALL = "other", "*"
 WORDS = {lang: {w.encode(): i for i, w in enumerate(text.split())} for lang, text in COMMON_WORDS.items()}
-WORDS[OTHER] = {}
 N_COMMON = 26  # 25 words and the rest
 
-#: At or above these distances a text is unlike its language.
-MAX_CHAR_DISTANCE = 0.28
-#: Set once from the labels of sf0.1: of 3,300 documents labelled clean that passed at 0.40, 13 lie at or above 0.28.
-MAX_WORD_DISTANCE = 0.28
+#: At or above these distances a text is unlike its language. Set once from the labels of sf0.1: of 3,302 documents
+#: labelled clean that pass the base rule 9 lie at or above one of them, of 301 labelled otherwise 292.
+MAX_CHAR_DISTANCE = 0.20
+MAX_WORD_DISTANCE = 0.24
 #: Shorter texts are not compared.
 MIN_CHARS = 200
-MIN_WORDS = 60
+MIN_WORDS = 40
+#: References of fewer characters or words than these are not used.
+MIN_REFERENCE_CHARS = 20_000
+MIN_REFERENCE_WORDS = 4_000
 MIN_BASE_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 
 SYMBOLS = b"#*$%&|<>"
 # Character classes by the first byte of a code point's UTF-8 form.
-LOWER, UPPER, DIGIT, BLANK, NEWLINE, STOP, SYMBOL, QUOTE, CONTROL, LATIN, TWO, THREE, FOUR, INNER = range(14)
-N_CLASSES = 13
+LOWER, UPPER, DIGIT, BLANK, NEWLINE, STOP, SYMBOL, SEPARATOR, QUOTE, CONTROL, LATIN, TWO, THREE, FOUR, INNER = range(15)
+N_CLASSES = 14
 
 
 def _classes() -> np.ndarray:
     kinds = np.full(256, CONTROL, np.uint8)
-    for chars, kind in ((b"abcdefghijklmnopqrstuvwxyz", LOWER), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", UPPER), (b"0123456789", DIGIT), (b" \t\x0b\x0c\r", BLANK), (b"\n", NEWLINE), (b".,;:!?", STOP), (b"'\"()[]-_/", QUOTE), (b"#*$%&|<>=+@\\^`{}~", SYMBOL)):
+    for chars, kind in ((b"abcdefghijklmnopqrstuvwxyz", LOWER), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", UPPER), (b"0123456789", DIGIT), (b" \t\x0b\x0c\r", BLANK), (b"\n", NEWLINE), (b".,;:!?", STOP), (b"'\"()[]-_/", QUOTE), (b"#*$%&<>=+@`{}", SYMBOL), (b"|\\^~", SEPARATOR)):
         kinds[list(chars)] = kind
     kinds[0x80:0xC0], kinds[0xC0:0xC9], kinds[0xC9:0xE0], kinds[0xE0:0xF0], kinds[0xF0:] = INNER, LATIN, TWO, THREE, FOUR
     return kinds
@@ -67,16 +74,19 @@ CLASS_OF = _classes()
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_CODE = re.compile(r"([a-z]{2,3})(?:[-_].*)?", re.DOTALL)
+
+
 def language(lang: str | bytes | None) -> str:
-    lang = lang.decode() if isinstance(lang, bytes) else lang
-    return lang if lang in COMMON_WORDS else OTHER
+    found = _CODE.fullmatch(lang.decode() if isinstance(lang, bytes) else lang) if lang else None
+    return found[1] if found else OTHER
 
 
 def histograms(text: bytes, lang: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of character classes (with INNER, which is no class, last), and of common words and the rest."""
     chars = np.bincount(CLASS_OF[np.frombuffer(text, np.uint8)], minlength=N_CLASSES + 1)
     words = np.zeros(N_COMMON, np.int64)
-    known = WORDS[lang]
+    known = WORDS.get(lang)
     for k, n in Counter(map(known.get, text.translate(PLAIN).split())).items() if known else ():
         words[N_COMMON - 1 if k is None else k] += n
     return chars, words
@@ -127,8 +137,8 @@ def base_counts(text: bytes, chars: np.ndarray) -> tuple[int, int, int, int, int
     )
 
 
-def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance (base 2, 0 to 1) of each row of p from each row of q; rows are counts."""
+def js_divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence (base 2, 0 to 1) of each row of p from each row of q; rows are counts."""
     p = p / np.maximum(p.sum(axis=1, keepdims=True), 1)
     q = q / np.maximum(q.sum(axis=1, keepdims=True), 1)
     m = (p + q) / 2
@@ -136,11 +146,21 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     def gain(x: np.ndarray) -> np.ndarray:
         return np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0).sum(axis=1)
 
-    return np.sqrt(np.clip((gain(p) + gain(q)) / 2, 0, 1))
+    return np.clip((gain(p) + gain(q)) / 2, 0, 1)
+
+
+def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The root of the divergence beyond that of a sample of p's size."""
+    sampling = (p.shape[1] - 1) / (8 * np.log(2) * np.maximum(p.sum(axis=1), 1))
+    return np.sqrt(np.maximum(js_divergence(p, q) - sampling, 0))
+
+
+References = dict[str, tuple[list[int], list[int]]]
 
 
-def language_references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms of all documents for each language of the fixed list: at most eight small rows."""
+def language_references(docs: DataFrame) -> References:
+    """Summed histograms of all documents of each language, and of all (of these the characters only). Languages are
+    codes of two or three letters, so at most 18,253 small rows, whatever the column holds."""
 
     def sums(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -164,27 +184,41 @@ def language_references(docs: DataFrame) -> dict[str, tuple[list[int], list[int]
         .agg(*(F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(width)))
         .collect()
     )
-    return {r["lang"]: (list(r)[1 : N_CLASSES + 1], list(r)[N_CLASSES + 2 :]) for r in rows}
+    return with_all({r["lang"]: (list(r)[1 : N_CLASSES + 1], list(r)[N_CLASSES + 2 :]) for r in rows})
+
+
+def with_all(references: References) -> References:
+    total = np.sum([c for c, _ in references.values()], axis=0).tolist() if references else [0] * N_CLASSES
+    return references | {ALL: (total, [0] * N_COMMON)}
+
 
+def judge(langs: list, texts: list[bytes | None], references: References, among: bool = True) -> list[tuple]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance.
 
-def judge(langs: list, texts: list[bytes | None], references: dict) -> list[tuple]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance."""
+    among: the references hold these documents, which are each taken out for their own comparison.
+    """
     keys = [language(x) for x in langs]
     texts = [t or b"" for t in texts]
     found = [histograms(t, k) for t, k in zip(texts, keys)]
     if not found:
         return []
     blank = ([0] * N_CLASSES, [0] * N_COMMON)
-    chars, words = (np.stack([f[i] for f in found]) for i in (0, 1))
-    by_chars = js_distance(chars[:, :N_CLASSES], np.array([references.get(k, blank)[0] for k in keys], np.float64))
-    by_words = js_distance(words, np.array([references.get(k, blank)[1] for k in keys], np.float64))
+    chars, words = np.stack([f[0][:N_CLASSES] for f in found]), np.stack([f[1] for f in found])
+    own = 1 if among else 0
+    everything = np.array(references.get(ALL, blank)[0], np.int64) - own * chars
+    char_refs, word_refs = (np.array([references.get(k, blank)[i] for k in keys], np.int64) - own * x for i, x in enumerate((chars, words)))
+    few = char_refs.sum(axis=1) < MIN_REFERENCE_CHARS
+    char_refs = np.where(few[:, None], everything, char_refs)
+    long_enough = chars.sum(axis=1) >= MIN_CHARS
+    by_chars = long_enough & (char_refs.sum(axis=1) >= MIN_REFERENCE_CHARS)
+    by_words = long_enough & (words.sum(axis=1) >= MIN_WORDS) & (word_refs.sum(axis=1) >= MIN_REFERENCE_WORDS)
+    char_distances, word_distances = js_distance(chars, char_refs), js_distance(words, word_refs)
     out = []
-    for text, key, c, w, dc, dw in zip(texts, keys, chars, words, by_chars, by_words):
-        base = base_counts(text, c)
+    for i, text in enumerate(texts):
+        base = base_counts(text, found[i][0])
         failed = base[0] < MIN_BASE_WORDS or 100 * base[4] > MAX_REPEAT_PERCENT * base[0]
-        long_enough = int(c[:N_CLASSES].sum()) >= MIN_CHARS
-        dc = float(dc) if long_enough else None
-        dw = float(dw) if long_enough and key != OTHER and int(w.sum()) >= MIN_WORDS else None
+        dc = float(char_distances[i]) if by_chars[i] else None
+        dw = float(word_distances[i]) if by_words[i] else None
         unlike = (dc is not None and dc >= MAX_CHAR_DISTANCE) or (dw is not None and dw >= MAX_WORD_DISTANCE)
         out.append((*base, failed, not failed and not unlike, dc, dw))
     return out
@@ -193,8 +227,9 @@ def judge(langs: list, texts: list[bytes | None], references: dict) -> list[tupl
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
 
 
-def quality_verdicts(docs: DataFrame, references: dict | None = None) -> DataFrame:
-    """doc_id and the verdict on each document; references default to those of the documents themselves."""
+def quality_verdicts(docs: DataFrame, references: References | None = None) -> DataFrame:
+    """doc_id and the verdict on each document; references default to those of the other documents."""
+    among = references is None
     references = language_references(docs) if references is None else references
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2
     names = ["doc_id", *(x.split()[0] for x in VERDICT.split(", "))]
@@ -203,7 +238,7 @@ def quality_verdicts(docs: DataFrame, references: dict | None = None) -> DataFra
         for batch in stream:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                rows = judge(part.column(1).to_pylist(), utf8(part.column(2)), references)
+                rows = judge(part.column(1).to_pylist(), utf8(part.column(2)), references, among)
                 columns = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
@@ -212,8 +247,9 @@ def quality_verdicts(docs: DataFrame, references: dict | None = None) -> DataFra
     )
 
 
-def keep_quality(docs: DataFrame, references: dict | None = None) -> DataFrame:
+def keep_quality(docs: DataFrame, references: References | None = None) -> DataFrame:
     """The documents that pass, with all their columns."""
+    among = references is None
     references = language_references(docs) if references is None else references
     at_lang, at_text = docs.columns.index("lang"), docs.columns.index("text")
 
@@ -221,7 +257,7 @@ def keep_quality(docs: DataFrame, references: dict | None = None) -> DataFrame:
         for batch in stream:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                kept = [r[6] for r in judge(part.column(at_lang).to_pylist(), utf8(part.column(at_text)), references)]
+                kept = [r[6] for r in judge(part.column(at_lang).to_pylist(), utf8(part.column(at_text)), references, among)]
                 yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(passing, docs.schema)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, licenses, oracles, pii, quality, sharding, simhash, tokencount, warc
 from .util import shared_folder
@@ -19,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # without the distances, whose last digits two engines may write differently
-    return quality.quality_verdicts(table(spark, sf_dir, "documents")).drop("char_distance", "word_distance")
+    found = quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 4) for c in ("char_distance", "word_distance")})
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,30 +82,59 @@ def test_quality_long_path():
     assert quality.repeated_words(words) == brute_base(b" ".join(words).decode())[4]
 
 
-def test_quality_divergence(spark, docs):
+def clean_texts(rnd, n, size=120):
+    words = "the of and to in is that for house river mountain walks slowly under green trees".split()
+    return [" ".join(rnd.choice(words) + rnd.choice(["", "", "", "s", "ed", "."]) for _ in range(size)) for _ in range(n)]
+
+
+def test_quality_divergence(spark):
     rnd = random.Random(1)
-    clean = [" ".join(rnd.choice("the of and to in is that for house river mountain walks slowly under green trees".split()) + str() for _ in range(120)) for _ in range(40)]
-    clean = [re.sub(r"(\w+)", lambda m: m[1] + rnd.choice(["", "", "s", "ed"]), t) for t in clean]
+    clean = clean_texts(rnd, 40)
     junk = " ".join(w + rnd.choice(["###", "&&&", "%%%", "$$$"]) for w in (f"word{i}" for i in range(150)))
-    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*clean, junk])], DOCS).withColumnsRenamed({}).selectExpr("*", "1 as kept", "2 as n_words")
+    bars = " | ".join(rnd.choice(clean[0].split()) for _ in range(120))
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*clean, junk, bars])], DOCS).selectExpr("*", "1 as kept", "2 as n_words")
     verdict = {r["doc_id"]: r for r in quality.quality_verdicts(df).collect()}
-    assert all(verdict[i]["kept"] for i in range(40)) and not verdict[40]["kept"] and not verdict[40]["base_failed"]
+    assert all(verdict[i]["kept"] for i in range(40)) and not any(verdict[i]["kept"] or verdict[i]["base_failed"] for i in (40, 41))
     kept = quality.keep_quality(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(range(40))
 
 
-def test_quality_fragments(spark):
-    sf = "/root/testdata/sf0.01"
-    texts = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = quality.quality_verdicts(texts).join(texts.select("doc_id", "text"), "doc_id").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
-    clean = [r["kept"] for r in rows if r["quality"] == 1]
-    junk = [r["kept"] for r in rows if r["quality"] == 0 and r["text"].count(" | ") > 5 and r["word_distance"] is not None]
-    assert sum(clean) >= 0.95 * len(clean) and junk and sum(junk) < 0.4 * len(junk)
+def test_quality_own_reference(spark):
+    """No document is its own reference: the only one of a language is compared with all others; nulls in any column."""
+    rnd = random.Random(2)
+    junk = " ".join(f"w{i}###" for i in range(200))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(clean_texts(rnd, 150))]
+    rows += [(500, junk, "it", "s", 0), (510, junk, None, None, None), (520, junk, "no such code", None, None), (530, rows[0][1], "it", "s", 0), (540, rows[1][1], None, None, None), (None, rows[2][1], "en-GB", None, None), (550, None, "it", None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    verdict = {r["doc_id"]: r for r in quality.quality_verdicts(df).collect()}
+    assert not any(verdict[i]["kept"] or verdict[i]["base_failed"] for i in (500, 510, 520)) and verdict[530]["kept"] and verdict[540]["kept"] and verdict[None]["kept"]
+    assert verdict[530]["word_distance"] is None and verdict[None]["word_distance"] is not None and verdict[550]["base_failed"]
+    assert {r["doc_id"] for r in quality.keep_quality(df).collect()} == {*range(150), 530, 540, None}
+    # alone in a small table it is compared with nothing
+    alone = spark.createDataFrame(rows[150:151], DOCS)
+    assert quality.quality_verdicts(alone).first()["char_distance"] is None and quality.keep_quality(alone).count() == 1
+    assert quality.keep_quality(alone, quality.language_references(df)).count() == 0
+    empty = quality.keep_quality(df.limit(0))
+    assert empty.count() == 0 and empty.columns == df.columns
+
+
+def test_quality_of_labelled(spark):
+    """Against the labels: nearly all clean documents of a fair length stay, nearly all that are not are found."""
+    sf = "/root/testdata/sf0.1"
+    rows = quality.quality_verdicts(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    clean, junk = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert sum(clean) >= 0.99 * len(clean) and sum(junk) <= 0.1 * len(junk)
 
 
 def test_js_distance():
     p, q = np.array([[1.0, 0.0], [3, 1]]), np.array([[0.0, 5.0], [3, 1]])
-    assert quality.js_distance(p, q).tolist() == [1.0, 0.0]
+    assert quality.js_divergence(p, q).tolist() == [1.0, 0.0]
+    # a sample of its own distribution lies at no distance but for chance
+    rng = np.random.default_rng(1)
+    cells = rng.dirichlet(np.ones(26))
+    samples = rng.multinomial(80, cells, 400)
+    found = quality.js_distance(samples, np.tile(cells * 1e6, (400, 1)))
+    assert found.mean() < 0.1 and np.sqrt(quality.js_divergence(samples, np.tile(cells * 1e6, (400, 1)))).mean() > 0.15
 
 
 # 2
