@@ -60,21 +60,32 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def license_sql() -> str:
-    rows = ", ".join(f"({quoted(name)}, [{', '.join(map(quoted, licenses._bigrams(text)))}])" for name, text in sorted(licenses.TEMPLATES.items()))
+    bigrams = {name: licenses._bigrams(text) for name, text in sorted(licenses.TEMPLATES.items())}
+
+    def strings(values: list[str]) -> str:
+        return f"[{', '.join(map(quoted, values))}]::varchar[]"
+
+    rows = ", ".join(f"({quoted(name)}, {strings(b)}, {strings(licenses.kin(b)[0])}, {strings(licenses.kin(b)[1])})" for name, b in bigrams.items())
+    familiar = ", ".join(f"({quoted(b)})" for b in licenses.long_bigrams(bigrams))
     t = licenses.THRESHOLD
     return f"""
-with known(name, grams) as (values {rows}),
+with known(name, grams, needs, bars) as (values {rows}), familiar(gram) as (values {familiar}),
 lines as (select doc_id, n, string_split(trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ') as words, parts from
   (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as n, len(string_split(coalesce(text, ''), chr(10))) as parts from documents)),
-texts as (select doc_id, 0 as n, list_filter(flatten(list(words order by n)), lambda w: w <> '') as words from lines group by doc_id having any_value(parts) > 1),
-units as (select doc_id, n, words, parts from lines union all by name select doc_id, n, words, 2 as parts from texts),
-grams as (select doc_id, n, parts, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as g from units where len(words) > 1),
-hits as (select doc_id, n, parts, name, 2.0::double * len(list_intersect(g, k.grams)) / (len(g) + len(k.grams)) as dice from grams, known k
+grammed as (select *, case when len(words) > 1 then list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) else [] end as g from lines),
+ours as (select doc_id, n, count(f.gram) as k from (select doc_id, n, unnest(g) as gram from grammed where parts > 1) x left join familiar f using (gram) group by all),
+marked as (select l.doc_id, l.n, l.words, coalesce(2 * k >= len(g), false) as flagged from grammed l left join ours using (doc_id, n) where parts > 1 and words <> ['']),
+numbered as (select *, sum(case when flagged then 0 else 1 end) over (partition by doc_id order by n) as run from marked),
+runs as (select doc_id, run, flatten(list(words order by n)) as words from numbered where flagged group by all),
+texts as (select doc_id, list_filter(flatten(list(words order by n)), lambda w: w <> '') as words from lines group by doc_id having any_value(parts) > 1),
+units as (select doc_id, 'line' as kind, n, words, parts from lines union all by name select doc_id, 'text' as kind, 0 as n, words, 2 as parts from texts union all by name select doc_id, 'run' as kind, run as n, words, 2 as parts from runs),
+grams as (select doc_id, kind, n, parts, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as g from units where len(words) > 1),
+hits as (select doc_id, kind, n, parts, name, 2.0::double * len(list_intersect(g, k.grams)) / (len(g) + len(k.grams)) as dice, g, needs, bars from grams, known k
   where len(g) between len(k.grams) * {t / (2 - t)} - 1e-6 and len(k.grams) * {(2 - t) / t} + 1e-6 and len(g) > 0),
-found as (select * from hits where dice >= {t}),
-best as (select doc_id, arg_max(name, (dice, name)) as license, round(max(dice), 4) as dice, count(distinct n) filter (n > 0) as n_lines,
-  bool_or(n = 0 or parts = 1) as whole_text, string_agg(distinct name, ',' order by name) as licenses from found group by 1)
-select d.doc_id, license, dice, coalesce(n_lines, 0)::bigint as n_lines, coalesce(whole_text, false) as whole_text, coalesce(licenses, '') as licenses
+found as (select * from hits where dice >= {t} and list_has_all(g, needs) and not list_has_any(g, bars)),
+best as (select doc_id, arg_max(name, (dice, name)) as license, round(max(dice), 4) as dice, count(distinct n) filter (kind = 'line') as n_lines, count(distinct n) filter (kind = 'run') as n_runs,
+  bool_or(kind = 'text' or (kind = 'line' and parts = 1)) as whole_text, string_agg(distinct name, ',' order by name) as licenses from found group by 1)
+select d.doc_id, license, dice, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_runs, 0)::bigint as n_runs, coalesce(whole_text, false) as whole_text, coalesce(licenses, '') as licenses
 from documents d left join best using (doc_id)"""
 
 
