@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from .util import cut
 
 LINKS = "a long, b long"
+#: Nodes that a task holds at once.
+MAX_NODES = 1 << 18
 
 
 def _forest(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one partition that connect what all its links connect: each node but the least of its tree to that."""
+    """Links of one partition that connect what all its links connect: each node but the least of its tree to that.
+    Beyond MAX_NODES nodes the forest so far is told and a new one begun."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -23,18 +26,24 @@ def _forest(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x] = x = parent.setdefault(up, up)
         return x
 
+    def told() -> Iterator[pa.RecordBatch]:
+        pairs = np.array([(x, r) for x in list(parent) if (r := root(x)) != x], np.int64).reshape(-1, 2)
+        for start in range(0, len(pairs), 1 << 16):
+            block = pairs[start : start + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[:, 0]), pa.array(block[:, 1])], ["a", "b"])
+        parent.clear()
+
     for batch in stream:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = np.array([(x, r) for x in list(parent) if (r := root(x)) != x], np.int64).reshape(-1, 2)
-    for start in range(0, len(pairs), 1 << 16):
-        block = pairs[start : start + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(block[:, 0]), pa.array(block[:, 1])], ["a", "b"])
+            if len(parent) > MAX_NODES:
+                yield from told()
+    yield from told()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node and root (the least node it is connected with) for each node that has a link; links: a and b, longs.
 
     Every round cuts lineage with a checkpoint. Minima are aggregated before the shuffle and only joined back to the
@@ -43,7 +52,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").mapInArrow(_forest, LINKS).distinct())
     # edges run from the larger node to the smaller
     before = None
-    for _ in range(rounds):
+    while True:  # each round but the last brings some node nearer to the least of its component
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -59,8 +68,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             low.select("a", F.col("low").alias("b"))
         )
         edges = cut(edges.distinct())
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

@@ -81,9 +81,9 @@ def variants(distinct: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Pairs a, b of fingerprints that differ by at most MAX_BITS bits, enough to connect all that are so linked."""
     per = SEGMENT_BITS + 1
-    at_key = Window.partitionBy("key")
-    met = variants(distinct).withColumn("n", F.count("*").over(at_key)).where("n > 1")
-    met = cut(met)
+    # counted before they are shuffled, then joined back, so that Spark can split a key that very many share
+    counts = cut(variants(distinct).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = cut(variants(distinct).join(counts, "key"))
     small = met.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fingerprint").alias("f"))
     # the wildcard's bit in the whole fingerprint; none for a whole segment
     bit = F.expr(f"""case when shiftright(key, 32) % {per} = {SEGMENT_BITS} then 0L
@@ -131,10 +131,10 @@ def components_of(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id (null only if no other is there), with all its columns.
 
-    The one is chosen among narrow rows by id and a hash of the whole row; rows that are equal in all columns are
-    numbered where they meet, so that one of them stays.
+    The one is chosen among narrow rows by id and a hash of the whole row; rows that are equal in all columns become one
+    where they are read, before anything is shuffled.
     """
-    row, more, n = (fresh(docs, x) for x in ("simhash_row", "simhash_more", "simhash_number"))
+    row, more = (fresh(docs, x) for x in ("simhash_row", "simhash_more"))
     hashed = [docs[c] for c, kind in docs.dtypes if "map<" not in kind]
     whole = docs.withColumns({row: F.xxhash64(*hashed), more: F.hash(*hashed)})
     found = near_duplicates(fingerprints(whole.select("doc_id", "text", F.col(row).alias("row"), F.col(more).alias("more")), "row", "more"))
@@ -146,10 +146,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .select(F.col("first")["row"].alias(row), F.col("first")["more"].alias(more))
         .distinct()
     )
-    # the texts are shuffled once, by the two hashes; rows that are equal in all columns meet there
-    return (
-        whole.join(kept, [row, more], "left_semi")
-        .withColumn(n, F.row_number().over(Window.partitionBy(row, more).orderBy(F.lit(0))))
-        .where(F.col(n) == 1)
-        .select(*docs.columns)
-    )
+    # the texts are shuffled once, by the two hashes; a partial aggregate leaves one of equal rows in each task
+    return whole.dropDuplicates([row, more]).join(kept, [row, more], "left_semi").select(*docs.columns)

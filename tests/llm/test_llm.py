@@ -227,15 +227,27 @@ def test_plain_notice_of_rights(spark):
 
 
 def brute_repair(roles):
-    """Least cost over all sequences of steps."""
-    frontier = {0: 0}
+    """Least cost over all sequences of steps, by the rules as they are told: system only first, then user and assistant
+    in alternation, the assistant last. 0 system, 1 user, 2 assistant, 3 unknown."""
+    after = {None: {0, 1}, 0: {1}, 1: {2}, 2: {1}}
+    frontier = {None: 0}
     for role in roles:
+        label, join = (1, 2) if role == 3 else (3, 1)
         following = {}
-        for state, cost in frontier.items():
-            for c, to, *_ in chat.options(state, role):
-                following[to] = min(following.get(to, 1 << 60), cost + c)
+
+        def reach(last, cost, following=following):
+            following[last] = min(following.get(last, 1 << 60), cost)
+
+        for last, cost in frontier.items():
+            for new in after[last]:
+                reach(new, cost + (0 if new == role else label))
+                for newer in after[new]:  # an empty turn in front
+                    reach(newer, cost + 2 + (0 if newer == role else label))
+            if last is not None and role in (last, 3):
+                reach(last, cost + join)
         frontier = following
-    return min(c + chat.FINAL[s] for s, c in frontier.items())
+    end = {2: 0, 1: 2, 0: 4, None: 0}  # empty turns up to the assistant's
+    return min(cost + end[last] for last, cost in frontier.items())
 
 
 def test_chat_costs():
@@ -774,6 +786,7 @@ def test_simhash(docs, rows, none):
     assert simhash.components_of(none).count() == 0
     kept = simhash.keep_one(docs.selectExpr("*", "1 as simhash_row", "2 as fingerprint", "3 as component_id"))
     assert kept.columns == [*docs.columns, "simhash_row", "fingerprint", "component_id"]
+    assert simhash.keep_one(none).count() == 0 and simhash.keep_one(none).columns == none.columns
     groups = {}
     for (d, f), c in zip(prints, brute_components(prints)):
         groups.setdefault(c if c is not None else ("none", f), []).append(d)
@@ -804,7 +817,9 @@ def test_links(spark, bucket):
         assert got == dict(zip((d for d, _ in rows), brute_components(rows)))
 
 
-def test_components_paths(spark):
+@pytest.mark.parametrize("nodes", [components.MAX_NODES, 7])
+def test_components_paths(spark, nodes, monkeypatch):
+    monkeypatch.setattr(components, "MAX_NODES", nodes)
     rnd = random.Random(12)
     path = list(range(300))
     rnd.shuffle(path)
