@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import utf8
+from .util import cut, utf8
 
 SEGMENT_BYTES = 1 << 10
 CHUNK_BYTES = 1 << 10
@@ -394,7 +394,9 @@ def _joined(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def reassemble(records: DataFrame) -> DataFrame:
     """A row for each page: page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id),
     segments and verified. Of runs only those that lie apart are dealt by origin and ordered by segment; a revisit is
-    held against its response, whose size and digest it gets."""
+    held against its response, whose size and digest it gets. The records, narrow but for such runs, are kept in the
+    shared folder: archives are read once."""
+    records = cut(records)
     apart = records.where(F.col("block").isNotNull()).repartition("name").sortWithinPartitions("name", "segment").mapInArrow(_joined, RECORDS_DDL)
     narrow = ["page_id", "kind", "name", "last", "refers_to", "size", "digest", "verified"]
     whole = records.where(F.col("block").isNull()).select(narrow)
