@@ -39,6 +39,8 @@ SEGMENT_BYTES = 1 << 10
 CHUNK_BYTES = 1 << 10
 RUN_BYTES = 1 << 20
 FILE_BYTES = 16 << 20
+#: Digests, of about 120 bytes with what is told of each, that are broadcast at most.
+BROADCAST_ROWS = 50_000
 CRLF = b"\r\n"
 _CONTROL = re.compile(rb"[\x00-\x20\x7f]")
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -107,9 +109,12 @@ def archive_rows(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
     of_row = F.sha1(F.concat_ws(" ", F.col("sha1"), F.col("url")).cast("binary"))
     rows = rows.withColumn("name", F.concat_ws(":", F.lit("urn:page"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.substring(of_row, 1, 16)))
-    # aggregated before it is shuffled; only digests that repeat go on to the join, whose skew Spark can split
+    # aggregated before it is shuffled; only digests that repeat go on to the join. A table of few of them is broadcast, so
+    # that no payload is shuffled; with more, payloads are dealt by digest, and Spark can split one that very many share.
     repeated = rows.groupBy("sha1").agg(F.max(F.struct("page_id", "name")).alias("top"), F.count("*").alias("n")).where("n > 1")
-    repeated = repeated.select("sha1", F.col("top")["page_id"].alias("top_id"), F.col("top")["name"].alias("response"))
+    repeated = cut(repeated.select("sha1", F.col("top")["page_id"].alias("top_id"), F.col("top")["name"].alias("response")))
+    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
     is_response = F.col("top_id").isNull() | F.coalesce(F.col("page_id") == F.col("top_id"), F.lit(False))
     judged = rows.join(repeated, "sha1", "left").select("page_id", "name", "url", "html", "sha1", "response", is_response.alias("is_response"))
 

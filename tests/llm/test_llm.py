@@ -453,9 +453,10 @@ def brute_pages(pages):
 
 
 @pytest.mark.parametrize("run", [warc.RUN_BYTES, 5000, 0])
-def test_warc(spark, pages, run):
-    """Segments joined where they are read, in runs, or not at all: then all are shuffled."""
+def test_warc(spark, pages, run, monkeypatch):
+    """Segments joined where they are read, in runs, or not at all: then all are shuffled. Digests broadcast or not."""
     rows, df = pages
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0 if run == 5000 else 100)
     path = shared_folder(spark, "warc-test")
     warc.write_archives(df, path)
     records = warc.read_records(spark, path, run)
