@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import islice
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .util import map_texts
 
 #: Bounds of what a worker process keeps: whole pieces, and steps of the transducer.
-MAX_PIECES = 100_000
+MAX_PIECES = 200_000
 MAX_STEPS = 300_000
 BLOCK_PIECES = 1 << 16
 #: Above every rank.
@@ -301,6 +302,9 @@ class Transducer:
         return out
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
 class _Pieces(dict):
     """Packed ids of pieces seen lately; others pass the transducer."""
 
@@ -311,7 +315,7 @@ class _Pieces(dict):
         data = piece.encode()
         whole = self.ranks.get(data)
         ids = [whole] if whole is not None else self.transducer.encode(data)
-        packed = np.array(ids, "<u4").tobytes()
+        packed = _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             if len(self) >= MAX_PIECES:
                 self.clear()
