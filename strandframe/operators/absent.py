@@ -1,22 +1,34 @@
 """Minimal absent substrings: what of a read the reference doesn't hold, and nothing shorter within it.
 
-The index is a set of suffix-array shards. For every position the longest match is a maximum over shards; the rest is
-a window query: [b, e(b)] is told if the next position that has an absent substring ends it later.
+The index is a set of suffix-array shards, built by executors and written below a path that all of them share; a search
+ships the path and the shards' names, never a shard. For every position the longest match is a maximum over shards; the
+rest is one rule: [b, e(b)] is told if the next position that has an absent substring ends it later.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..kernels.matching import Shard, encode
+from ..session import shared_root
+from ..sources.files import listed, open_binary
 
-#: Bound of what a shard holds, and so of what is sent to executors at once.
-SHARD_CHARS = 8 << 20
+#: About what a shard holds at most, and with that what a worker holds of the index at once.
+SHARD_CHARS = 4 << 20
+#: Overlap of the pieces that long sequences are cut into: the longest read that an index serves.
+LONGEST = 1 << 17
+#: Characters of reads that meet the shards together: the index is read once for each such block.
+BLOCK_CHARS = 8 << 20
+_SLICE_CHARS = 1 << 19
+SHARDS = "shard long, alphabet binary, letters binary, suffixes binary"
 
 
 def minimal_absent(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,75 +53,111 @@ def disjoint_absent(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[kept], sizes[kept]
 
 
-def shards(references: DataFrame, column: str, longest: int, shard_chars: int = SHARD_CHARS) -> Iterator[Shard]:
-    """The reference in shards of bounded size, built one at a time. Sequences are cut into pieces that overlap by the
-    longest read, so that whatever a read may hold of a sequence lies within one piece."""
+def build_index(references: DataFrame, column: str, path: str, longest: int = LONGEST, shard_chars: int = SHARD_CHARS) -> str:
+    """Writes the shards of the sequences of a column below path, each a file, built by a task of its own. Sequences are cut
+    into pieces that overlap by the longest read, so that whatever a read may hold of a sequence lies within one piece;
+    equal pieces are one. Returns the path."""
     size = max(shard_chars // 4, 2 * longest, 16)
-    step = size - longest
-    starts = F.sequence(F.lit(0), F.greatest(F.length("s") - longest - 1, F.lit(0)), F.lit(step))
+    starts = F.sequence(F.lit(0), F.greatest(F.length("s") - longest - 1, F.lit(0)), F.lit(size - longest))
     rows = references.where(F.length(column) > 0).select(F.col(column).alias("s")).distinct()
     rows = rows.select(F.explode(F.transform(starts, lambda i: F.substring(F.col("s"), i + 1, F.lit(size)))).alias("s")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("s")), F.lit(0))).first()[0]
     n = max(1, -(-2 * total // shard_chars))
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("s"), F.lit(n)) == k) if n > 1 else rows
-        yield Shard(sorted(r["s"] for r in part.collect()))
 
-
-def specific_strings(reads: DataFrame, references: DataFrame, keys: Sequence[str], seq: str, ref_seq: str, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """keys, qs and l of each minimal absent substring of each read (0-based, in characters).
-
-    With one shard a single pass over the reads; with more, longest matches travel along with the read from shard to
-    shard, still without a shuffle.
-    """
+    def build(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[str]] = {}
+        for batch in stream:
+            for shard, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(shard, []).append(s)
+        for shard in sorted(held):
+            values = [[x] for x in Shard(sorted(held.pop(shard))).saved()]
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array(v, pa.binary()) for v in values)], ["shard", "alphabet", "letters", "suffixes"])
+
+    dealt = rows.select(F.pmod(F.xxhash64("s"), F.lit(n)).alias("shard"), "s").repartition(int(n), "shard").sortWithinPartitions("shard")
+    dealt.mapInArrow(build, SHARDS).write.partitionBy("shard").parquet(path)
+    return path
+
+
+def shard_files(spark: SparkSession, path: str) -> list[str]:
+    """The files of an index: their names are all that the driver learns of it."""
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path").collect()
+    return sorted(r["path"].removeprefix("file:") if r["path"].startswith("file:/") and not r["path"].startswith("file://") else r["path"] for r in names)
+
+
+@lru_cache(maxsize=1)
+def load_shard(name: str) -> Shard:
+    """One in a worker at a time."""
+    with open_binary(name) as f:
+        row = pq.read_table(pa.BufferReader(f.read())).select(["alphabet", "letters", "suffixes"])
+    return Shard.loaded(*(row.column(i)[0].as_py() for i in range(3)))
+
+
+def _lengths(texts: list[np.ndarray], names: list[str]) -> list[np.ndarray]:
+    """The longest matches of each text over all shards: each shard is loaded once and meets the texts in slices."""
+    best = [np.zeros(len(t), np.int32) for t in texts]
+    for name in names:
+        shard = load_shard(name)
+        start = 0
+        while start < len(texts):
+            stop, size = start, 0
+            while stop < len(texts) and (stop == start or size + len(texts[stop]) <= _SLICE_CHARS):
+                size += len(texts[stop])
+                stop += 1
+            sizes = np.array([len(t) for t in texts[start:stop]])
+            ends = np.cumsum(sizes)
+            found = shard.longest_matches(np.concatenate(texts[start:stop]).astype(np.int64), np.repeat(ends, sizes))
+            for i, lengths in enumerate(np.split(found, ends[:-1]), start):
+                np.maximum(best[i], lengths, out=best[i], casting="same_kind" if lengths.dtype == np.int32 else "unsafe")
+            start = stop
+    return best
+
+
+def search_index(reads: DataFrame, index: str, keys: Sequence[str], seq: str, relaxed: bool = False) -> DataFrame:
+    """keys, qs and l of each minimal absent substring of each read (0-based, in characters), or, relaxed, of those that
+    a scan from the right takes without overlap. One map over the reads; null reads have none."""
     kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
     head = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     n_keys = len(keys)
+    names = shard_files(reads.sparkSession, index)
+    pick = disjoint_absent if relaxed else minimal_absent
+
+    def found(parts: list[pa.RecordBatch], texts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        lengths = _lengths(texts, names)
+        begin = 0
+        for part in parts:
+            for at in range(0, part.num_rows, 1024):  # small batches out: a read may have very many strings
+                some = part.slice(at, 1024)
+                strings = [pick(x) for x in lengths[begin : begin + some.num_rows]]
+                begin += some.num_rows
+                rows = pa.array(np.repeat(np.arange(len(strings)), [len(s) for s, _ in strings]))
+                numbers = [pa.array(np.concatenate([s[i] for s in strings]).astype(np.int64), pa.int64()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(some.column(i).take(rows) for i in range(n_keys)), *numbers], [*keys, "qs", "l"])
+
+    def search(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.RecordBatch] = []
+        texts: list[np.ndarray] = []
+        size = 0
+        for batch in stream:
+            start = 0
+            for i, text in enumerate(batch.column(n_keys).to_pylist()):
+                texts.append(encode(text or "").astype(np.int32))
+                size += len(texts[-1])
+                if size >= BLOCK_CHARS:
+                    yield from found([*parts, batch.slice(start, i + 1 - start)], texts)
+                    parts, texts, size, start = [], [], 0, i + 1
+            if start < batch.num_rows:
+                parts.append(batch.slice(start))
+        if texts:
+            yield from found(parts, texts)
+
+    return reads.select(*keys, F.col(seq).cast("string").alias("seq")).mapInArrow(search, f"{head}, qs long, l long")
+
+
+def specific_strings(reads: DataFrame, references: DataFrame, keys: Sequence[str], seq: str, ref_seq: str, shard_chars: int = SHARD_CHARS, relaxed: bool = False) -> DataFrame:
+    """search_index() over an index of the references that is built for the longest of these reads, in the shared folder."""
     longest = reads.agg(F.coalesce(F.max(F.length(seq)), F.lit(0))).first()[0]
-    current = reads.select(*keys, F.col(seq).cast("string").alias("seq"), F.lit(None).cast("array<int>").alias("matched"))
-
-    def matches(part: pa.RecordBatch, shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-        """Ends of the texts laid end to end, and the longest matches so far."""
-        texts = [encode(t or "") for t in part.column(n_keys).to_pylist()]
-        sizes = np.array([len(t) for t in texts])
-        ends = np.cumsum(sizes)
-        lengths = shard.longest_matches(np.concatenate(texts), np.repeat(ends, sizes))
-        before = part.column(n_keys + 1)
-        if before.null_count < len(before):
-            lengths = np.maximum(lengths, before.flatten().to_numpy())
-        return ends, lengths
-
-    def stage(shard: Shard, last: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(stream: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in stream:
-                for start in range(0, batch.num_rows, 256):
-                    part = batch.slice(start, 256)
-                    ends, lengths = matches(part, shard)
-                    if last:
-                        found = [minimal_absent(x) for x in np.split(lengths, ends[:-1])]
-                        rows = pa.array(np.repeat(np.arange(len(found)), [len(s) for s, _ in found]))
-                        numbers = [pa.array(np.concatenate([f[i] for f in found]).astype(np.int64), pa.int64()) for i in (0, 1)]
-                        yield pa.RecordBatch.from_arrays([*(part.column(i).take(rows) for i in range(n_keys)), *numbers], [*keys, "qs", "l"])
-                    else:
-                        offsets = pa.array(np.append(0, ends).astype(np.int32))
-                        matched = pa.ListArray.from_arrays(offsets, pa.array(lengths.astype(np.int32)))
-                        yield pa.RecordBatch.from_arrays([*part.columns[: n_keys + 1], matched], [*keys, "seq", "matched"])
-
-        return run
-
-    held: Shard | None = None
-    for shard in shards(references, ref_seq, longest, shard_chars):
-        if held is not None:
-            current = current.mapInArrow(stage(held, False), f"{head}, seq string, matched array<int>")
-        held = shard
-    return current.mapInArrow(stage(held, True), f"{head}, qs long, l long")
-
-
-def minimal_absent_by_window(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The same rule as a window query over rows of keys, b, matched and size (of the read)."""
-    e = matches.where(F.col("b") + F.col("matched") < F.col("size")).withColumn("e", F.col("b") + F.col("matched"))
-    after = F.lead("e").over(Window.partitionBy(*keys).orderBy("b"))
-    return e.withColumn("after", after).where(F.col("after").isNull() | (F.col("e") < F.col("after"))).select(*keys, F.col("b").alias("qs"), (F.col("e") - F.col("b") + 1).alias("l"))
+    path = f"{shared_root(reads.sparkSession)}/index-{uuid.uuid4().hex}"
+    return search_index(reads, build_index(references, ref_seq, path, longest, shard_chars), keys, seq, relaxed)
 
 
 def assemble(strings: DataFrame, keys: Sequence[str]) -> DataFrame:

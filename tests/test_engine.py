@@ -199,11 +199,32 @@ def test_lcs_and_matching():
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
         assert text.lcs_length(a, b) == table[-1][-1]
         shard = matching.Shard([a, b])
+        shard = matching.Shard.loaded(*shard.saved()) if a > b else shard
         q = "".join(rnd.choice("ABC") for _ in range(10))
         got = shard.longest_matches(matching.encode(q), np.full(10, 10))
         assert got.tolist() == [max(n for n in range(11 - i) if q[i : i + n] in a or q[i : i + n] in b) for i in range(10)]
 
 
+def test_matching_beyond_words():
+    """Matches longer than a word of letters, over repeats, with letters that the shard lacks and several texts."""
+    rnd = random.Random(14)
+    for letters in ("AC", "ACGT", "abcdefghijklmnopqrstuvwxyzé日"):
+        refs = ["".join(rnd.choice(letters) for _ in range(300)) for _ in range(3)] + [letters[0] * 150, letters[:2] * 90]
+        shard = matching.Shard(refs)
+        for _ in range(12):
+            parts = []
+            for _ in range(4):
+                r = rnd.choice(refs)
+                i = rnd.randrange(len(r))
+                parts += [r[i : i + rnd.randint(0, 200)], rnd.choice(["", letters[0], "!", "\0"])]
+            texts = ["".join(parts), "", "".join(parts[::-1])]
+            codes = [matching.encode(t) for t in texts]
+            ends = np.cumsum([len(c) for c in codes])
+            got = shard.longest_matches(np.concatenate(codes), np.repeat(ends, [len(c) for c in codes]))
+            want = [max(n for n in range(len(t) - i + 1) if any(t[i : i + n] in r for r in refs)) for t in texts for i in range(len(t))]
+            assert got.tolist() == want
+
+
 def brute_absent(read, refs):
     n = len(read)
     gone = {(i, j) for i in range(n) for j in range(i + 1, n + 1) if not any(read[i:j] in r for r in refs)}
@@ -211,7 +232,8 @@ def brute_absent(read, refs):
 
 
 @pytest.mark.parametrize("shard_chars", [absent.SHARD_CHARS, 40])
-def test_specific_strings(spark, shard_chars):
+def test_specific_strings(spark, shard_chars, monkeypatch):
+    monkeypatch.setattr(absent, "BLOCK_CHARS", 50)
     rnd = random.Random(5)
     refs = ["".join(rnd.choice("ABC") for _ in range(rnd.randint(0, 30))) for _ in range(5)] + ["".join(rnd.choice("AB") for _ in range(200))]
     reads = [(i, "".join(rnd.choice("ABCé") for _ in range(rnd.randint(0, 14)))) for i in range(40)] + [(99, None)]
