@@ -22,6 +22,10 @@ class Config:
     putative: bool = True
     use_haplotypes: bool = True
     clipped: bool = False
+    #: strings of a read taken from the right without overlap, in place of all shortest ones
+    relaxed: bool = False
+    #: genotypes and allele frequencies by the reads at each call
+    genotype: bool = False
     #: mimic known quirks of greedy steps instead of their intended meaning
     compat: bool = False
 

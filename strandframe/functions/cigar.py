@@ -1,19 +1,28 @@
-"""CIGAR functions over array<struct<len int, op string>> columns, without Python on the executors."""
+"""CIGAR functions over array<struct<len int, op string>> columns: built-in functions where one operation is looked at
+alone, Arrow functions over whole batches where positions add up along them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
-#: Operation letters by BAM code; those that advance the read and the reference.
-OPS = "MIDNSHP=X"
-READ_OPS = ("M", "I", "S", "=", "X")
-REF_OPS = ("M", "D", "N", "=", "X")
+from ..kernels import cigars
+
+OPS = cigars.OPS
+READ_OPS, REF_OPS = tuple(cigars.READ_OPS), tuple(cigars.REF_OPS)
 MATCH_OPS = ("M", "=", "X")
 
 ARRAY = "array<struct<len:int,op:string>>"
 
 
+def _structs(**fields: DataType) -> ArrayType:
+    return ArrayType(StructType([StructField(name, kind) for name, kind in fields.items()]))
+
+
 def parse_cigar(text: Column) -> Column:
     """'10M2I' to ops; null and '*' to no ops."""
     parts = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
@@ -54,15 +63,34 @@ def reference_length(ops: Column) -> Column:
     return span(ops, REF_OPS)
 
 
-def merge_runs(ops: Column) -> Column:
-    """Neighbours of one kind become one op; empty ops go."""
+def _flat(ops: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, codes and row of all operations of a column."""
+    ops = ops.combine_chunks() if isinstance(ops, pa.ChunkedArray) else ops
+    flat = ops.flatten()
+    codes = pa.compute.index_in(flat.field("op"), pa.array(list(OPS))).to_numpy(zero_copy_only=False)
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(ops), 0).to_numpy(zero_copy_only=False)
+    return flat.field("len").to_numpy(zero_copy_only=False).astype(np.int64), codes.astype(np.int64), np.repeat(np.arange(len(ops)), sizes)
+
+
+def _lists(like: pa.Array, row: np.ndarray, **fields: pa.Array) -> pa.Array:
+    """Lists of structs by row; null where the column is."""
+    ends = np.searchsorted(row, np.arange(len(like)), "right").astype(np.int32)
+    values = pa.StructArray.from_arrays(list(fields.values()), list(fields))
+    return pa.ListArray.from_arrays(pa.array(np.append(np.int32(0), ends)), values, mask=like.is_null() if like.null_count else None)
+
 
-    def push(done: Column, op: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct((last["len"] + op["len"]).alias("len"), op["op"].alias("op"))))
-        return F.when(op["len"] == 0, done).when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["op"] == op["op"]), grown).otherwise(F.concat(done, F.array(op)))
+_LETTERS = pa.array(list(OPS))
 
-    return F.aggregate(ops, F.array().cast(ARRAY), push)
+
+@F.arrow_udf(_structs(len=IntegerType(), op=StringType()))
+def merge_runs(ops: pa.Array) -> pa.Array:
+    """Neighbours of one kind become one op; empty ops go. Linear in the operations."""
+    lens, codes, row = _flat(ops)
+    lens, codes, row = lens[lens > 0], codes[lens > 0], row[lens > 0]
+    fresh = np.append(True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])) if len(lens) else np.zeros(0, bool)
+    at = np.flatnonzero(fresh)
+    total = np.add.reduceat(lens, at) if len(at) else lens
+    return _lists(ops, row[at], len=pa.array(total.astype(np.int32)), op=_LETTERS.take(pa.array(codes[at])))
 
 
 def fix_clips(ops: Column) -> Column:
@@ -76,30 +104,20 @@ def fix_clips(ops: Column) -> Column:
     return F.when(n == 0, ops).when(n == 1, fixed(first)).otherwise(F.concat(fixed(first), F.slice(ops, 2, n - 2), fixed(last)))
 
 
-def with_offsets(ops: Column, start: Column) -> Column:
-    """Each op with the read and reference positions at which it begins."""
-    kind = "struct<q:int,r:int,out:array<struct<len:int,op:string,q:int,r:int>>>"
-
-    def step(s: Column, o: Column) -> Column:
-        return F.struct(
-            (s["q"] + F.when(o["op"].isin(*READ_OPS), o["len"]).otherwise(0)).alias("q"),
-            (s["r"] + F.when(o["op"].isin(*REF_OPS), o["len"]).otherwise(0)).alias("r"),
-            F.concat(s["out"], F.array(F.struct(o["len"].alias("len"), o["op"].alias("op"), s["q"].alias("q"), s["r"].alias("r")))).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("q"), start.cast("int").alias("r"), F.array().cast("array<struct<len:int,op:string,q:int,r:int>>").alias("out")).cast(kind)
-    return F.aggregate(ops, zero, step, lambda s: s["out"])
+@F.arrow_udf(_structs(len=IntegerType(), op=StringType(), q=IntegerType(), r=IntegerType()))
+def with_offsets(ops: pa.Array, start: pa.Array) -> pa.Array:
+    """Each op with the read and reference positions at which it begins. Linear in the operations."""
+    lens, codes, row = _flat(ops)
+    q, r = cigars.offsets(lens, codes, row, start.to_numpy(zero_copy_only=False).astype(np.int64))
+    return _lists(ops, row, len=pa.array(lens.astype(np.int32)), op=_LETTERS.take(pa.array(codes)), q=pa.array(q.astype(np.int32)), r=pa.array(r.astype(np.int32)))
 
 
-def aligned_pairs(ops: Column, start: Column) -> Column:
+@F.arrow_udf(_structs(q=IntegerType(), r=IntegerType()))
+def aligned_pairs(ops: pa.Array, start: pa.Array) -> pa.Array:
     """array<struct<q,r>>: both set on M, = and X; r null on I and S; q null on D and N; H and P give none."""
-
-    def pairs(o: Column) -> Column:
-        places = F.when(o["len"] > 0, F.sequence(F.lit(0), o["len"] - 1)).otherwise(F.array().cast("array<int>"))
-        moves_q, moves_r = o["op"].isin(*READ_OPS), o["op"].isin(*REF_OPS)
-        return F.when(moves_q | moves_r, F.transform(places, lambda k: F.struct(F.when(moves_q, o["q"] + k).alias("q"), F.when(moves_r, o["r"] + k).alias("r")))).otherwise(F.array().cast("array<struct<q:int,r:int>>"))
-
-    return F.flatten(F.transform(with_offsets(ops, start), pairs))
+    lens, codes, row = _flat(ops)
+    row, q, r = cigars.aligned(lens, codes, row, start.to_numpy(zero_copy_only=False).astype(np.int64))
+    return _lists(ops, row, q=pa.array(q.astype(np.int32), mask=q < 0), r=pa.array(r.astype(np.int32), mask=r < 0))
 
 
 def add_op(ops: Column, length: Column, op: Column) -> Column:

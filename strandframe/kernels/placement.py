@@ -4,24 +4,22 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterable
+
+import numpy as np
+
+from . import cigars
 
 Pair = tuple[int | None, int | None]
 
 
 def pairs_of(ops: list[tuple[int, str]], start: int) -> list[Pair]:
-    out: list[Pair] = []
-    q, r = 0, start
-    for n, op in ops:
-        if op in "M=X":
-            out += zip(range(q, q + n), range(r, r + n))
-            q, r = q + n, r + n
-        elif op in "IS":
-            out += ((i, None) for i in range(q, q + n))
-            q += n
-        elif op in "DN":
-            out += ((None, i) for i in range(r, r + n))
-            r += n
-    return out
+    """Read and reference positions of each base of an alignment, None where it has none."""
+    if not ops:
+        return []
+    lens, kinds = zip(*ops)
+    _, q, r = cigars.aligned(np.array(lens), np.array([cigars.OPS.index(k) for k in kinds]), np.zeros(len(ops), np.int64), np.array([start]))
+    return [(None if a < 0 else a, None if b < 0 else b) for a, b in zip(q.tolist(), r.tolist())]
 
 
 def unique_anchor(pairs: list[Pair], k: int, nearest_last: bool, ref: str, ref_start: int, compat: bool = False) -> Pair | None:
@@ -93,17 +91,21 @@ def place(
     return out, left, right
 
 
-def merge_first(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Each span into the first one so far that it overlaps on the reference (closed), in one pass."""
-    out: list[list[int]] = []
-    for rs, re, qs, qe in spans:
-        for other in out:
-            if rs <= other[1] and other[0] <= re:
-                other[:] = [min(rs, other[0]), max(re, other[1]), min(qs, other[2]), max(qe, other[3])]
-                break
+def first_groups(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
+    """Each span (closed) goes to the first merged one so far that it overlaps, in one pass: start, end and members."""
+    out: list[list] = []
+    for i, (s, e) in enumerate(spans):
+        found = next((g for g in out if s <= g[1] and g[0] <= e), None)
+        if found is None:
+            out.append([s, e, [i]])
         else:
-            out.append([rs, re, qs, qe])
-    return [tuple(x) for x in out]
+            found[:] = [min(s, found[0]), max(e, found[1]), [*found[2], i]]
+    return [(s, e, members) for s, e, members in out]
+
+
+def merge_first(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Spans (rs, re, qs, qe) merged by what they cover of the reference."""
+    return [(s, e, min(spans[i][2] for i in m), max(spans[i][3] for i in m)) for s, e, m in first_groups((x[0], x[1]) for x in spans)]
 
 
 def subread(ops: list[tuple[int, str]], pos: int, seq: str, s: int, e: int) -> str | None:

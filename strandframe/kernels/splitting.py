@@ -19,6 +19,7 @@ class Group:
 
 
 def ratio(a: int, b: int) -> float:
+    """Of the smaller to the larger; equal ones, also two empty ones, are alike."""
     return 1.0 if a == b else min(a, b) / max(a, b)
 
 

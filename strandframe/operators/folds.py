@@ -1,8 +1,8 @@
 """Order-dependent greedy scans, each a fold over the rows of a group in a total order.
 
 Rows are dealt by group and sorted by Spark; a task streams over its groups, so that many small ones cost little and
-memory is that of one group. Groups are reads, clusters or contigs; where a contig is large, cut_at_gaps() first deals
-it into parts that no fold can connect.
+memory is that of one group. Groups are reads, clusters or parts of contigs, into which cut_at_gaps() deals a contig so
+that no fold could connect them.
 """
 
 from __future__ import annotations
@@ -10,19 +10,38 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels.placement import first_groups
+from ..kernels.splitting import by_length
+
 #: A fold takes the values of its columns and gives the rows it keeps, by index (None: all), and the new columns.
 Fold = Callable[..., tuple[list[int] | None, list[list]]]
 
 
-def cut_at_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, slack: int, out: str = "part") -> DataFrame:
-    """Numbers parts of each key between which more than slack positions are free."""
-    w = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    begins = F.when(F.col(start) - reach > slack, 1).otherwise(0)
-    return df.withColumn("part_begins", begins).withColumn(out, F.sum("part_begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("part_begins")
+def cut_at_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, slack: int | Column, out: str = "part", width: int = 1 << 20) -> DataFrame:
+    """Names parts of each key between which more than slack positions are free, by the first position of each part.
+
+    Rows are dealt by key and bin of their start, so that no task holds a key; what reaches into a bin from those before it
+    is carried over by a table of one row for each bin, whose own window is that small.
+    """
+    rows = df.withColumn("gap_bin", F.floor(F.col(start) / width))
+    dealt = [*keys, "gap_bin"]
+
+    def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        bins = rows.groupBy(*dealt).agg(F.max(value).alias("gap_value"))
+        bins = bins.select(*(F.col(k).alias(f"gap_{i}") for i, k in enumerate(dealt)), F.max("gap_value").over(Window.partitionBy(*keys).orderBy("gap_bin").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+        on = [F.col(k).eqNullSafe(F.col(f"gap_{i}")) for i, k in enumerate(dealt)]
+        return rows.join(bins, on).drop(*(f"gap_{i}" for i in range(len(dealt))))
+
+    within = Window.partitionBy(*dealt).orderBy(start, end)
+    rows = carried(rows, F.col(end), "gap_carried")
+    reach = F.greatest(F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("gap_carried"))
+    rows = rows.withColumn("gap_begin", F.when(reach.isNull() | (F.col(start) - reach > slack), F.col(start)))
+    rows = carried(rows, F.col("gap_begin"), "gap_before")
+    part = F.greatest(F.max("gap_begin").over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("gap_before"))
+    return rows.select(*df.columns, part.alias(out))
 
 
 def fold_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], fold: Fold, added: Sequence[tuple[str, str]] = (), replaced: Sequence[str] = ()) -> DataFrame:
@@ -95,64 +114,47 @@ def anchored_windows(df: DataFrame, keys: Sequence[str], start: str, end: str, o
     return fold_groups(df, keys, order, [start, end, distance], lambda s, e, d: (None, [window_numbers(s, e, d)]), [(out, "long")])
 
 
-def merged_into_first(starts: Sequence[int], ends: Sequence[int]) -> list[list[int]]:
-    """Index of the first row, start, end and number of rows of each merged interval."""
-    kept: list[list[int]] = []
-    for i, (s, e) in enumerate(zip(starts, ends)):
-        for other in kept:
-            if s <= other[2] and other[1] <= e:
-                other[1], other[2], other[3] = min(s, other[1]), max(e, other[2]), other[3] + 1
-                break
-        else:
-            kept.append([i, s, e, 1])
-    return kept
-
-
 def merge_into_first(df: DataFrame, keys: Sequence[str], start: str, end: str, order: Sequence[str]) -> DataFrame:
     """Each interval is merged into the first one so far that it overlaps (closed), in one pass; merged ones may overlap.
     The other columns are those of the first; n_merged counts."""
 
     def fold(starts: list[int], ends: list[int]) -> tuple[list[int], list[list]]:
-        kept = merged_into_first(starts, ends)
-        return [k[0] for k in kept], [[k[i] for k in kept] for i in (1, 2, 3)]
+        kept = first_groups(zip(starts, ends))
+        return [m[0] for _, _, m in kept], [[s for s, _, _ in kept], [e for _, e, _ in kept], [len(m) for _, _, m in kept]]
 
     return fold_groups(df, keys, order, [start, end], fold, [("n_merged", "long")], [start, end])
 
 
-def proximity_clusters(df: DataFrame, keys: Sequence[str], position: str, weight: str, length: str, order: Sequence[str], reach: int = 1000) -> DataFrame:
-    """In order, every centre so far within reach takes the row in (summed weight, largest length); a row that none
-    takes becomes a centre. Order by position keeps the centres that are still in reach few."""
+def centres(at: Sequence[int], w: Sequence[int], n: Sequence[int], reach: int) -> list[list[int]]:
+    """Index, summed weight and largest length of each centre, by ascending positions. A row within reach of a centre is
+    none itself, so centres lie further apart than reach, and only the last can still take a row in."""
+    out: list[list[int]] = []
+    for i in range(len(at)):
+        if out and at[i] - at[out[-1][0]] <= reach:
+            out[-1][1], out[-1][2] = out[-1][1] + w[i], max(out[-1][2], n[i])
+        else:
+            out.append([i, w[i], n[i]])
+    return out
 
-    def fold(at: list[int], w: list[int], n: list[int]) -> tuple[list[int], list[list]]:
-        centres: list[list] = []
-        for i in range(len(at)):
-            near = [c for c in centres if abs(at[c[0]] - at[i]) <= reach]
-            for c in near:
-                c[1], c[2] = c[1] + w[i], max(c[2], n[i])
-            if not near:
-                centres.append([i, w[i], n[i]])
-        return [c[0] for c in centres], [[c[1] for c in centres], [c[2] for c in centres]]
 
-    return fold_groups(df, keys, order, [position, weight, length], fold, (), [weight, length])
+def proximity_clusters(df: DataFrame, keys: Sequence[str], position: str, weight: str, length: str, order: Sequence[str], reach: int = 1000) -> DataFrame:
+    """By position, a centre takes in what lies within reach of it (summed weight, largest length); what none takes in
+    becomes a centre. order breaks ties of position. Parts of a key that lie further apart are folded apart."""
 
+    def fold(at: list[int], w: list[int], n: list[int]) -> tuple[list[int], list[list]]:
+        found = centres(at, w, n, reach)
+        return [c[0] for c in found], [[c[1] for c in found], [c[2] for c in found]]
 
-def similar(a: int, b: int, ratio: float) -> bool:
-    return max(a, b) == 0 or min(a, b) / max(a, b) >= ratio
+    parted = cut_at_gaps(df, keys, position, position, reach, "proximity_part")
+    return fold_groups(parted, [*keys, "proximity_part"], [position, *order], [position, weight, length], fold, (), [weight, length]).drop("proximity_part")
 
 
 def length_groups(lengths: Sequence[int], ratio: float) -> list[int]:
     """The group of each length, in order: the first whose integer mean is within ratio, else a new one."""
-    groups: list[list[int]] = []  # sum, count
-    out = []
-    for n in lengths:
-        for k, (total, count) in enumerate(groups):
-            if similar(total // count, n, ratio):
-                groups[k] = [total + n, count + 1]
-                out.append(k)
-                break
-        else:
-            groups.append([n, 1])
-            out.append(len(groups) - 1)
+    out = [0] * len(lengths)
+    for k, group in enumerate(by_length(list(range(len(lengths))), list(lengths), ratio)):
+        for i in group.reads:
+            out[i] = k
     return out
 
 

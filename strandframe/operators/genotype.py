@@ -42,8 +42,9 @@ def posteriors(reads: DataFrame, keys: Sequence[str], support: str = "support",
 
 
 def genotype_calls(svs: DataFrame) -> DataFrame:
-    """Calls with posteriors and the likeliest genotype (gt, gq) from their vectors of reads, 'support:haplotype' joined by
-    '-'. Each call is genotyped by itself, in its row: nothing is shuffled."""
+    """Calls with posteriors, the likeliest genotype (gt, gq) and the share of the reads at the locus that support the call
+    (vaf), from their vectors of reads, 'support:haplotype' joined by '-'. Each call is genotyped by itself, in its row:
+    nothing is shuffled. A call without reads has no genotype."""
     reads = F.transform(F.filter(F.split(F.coalesce("rvec", F.lit("")), "-"), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(1)).cast("int").alias("support"), F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("hap")))
     out = svs.withColumn("genotype_reads", reads)
 
@@ -56,4 +57,8 @@ def genotype_calls(svs: DataFrame) -> DataFrame:
     total = sum(weights.values())
     best = F.array_max(F.array(*(F.struct((weights[g] / total).alias("p"), F.lit("0/0" if g == "00" else "1/1" if g == "11" else "0/1").alias("gt")) for g in GENOTYPES)))
     quality = F.least(F.lit(100), F.floor(-10 * F.log10(F.greatest(1 - best["p"], F.lit(1e-10))))).cast("int")
-    return out.select(*svs.columns, *((weights[g] / total).alias(f"p{g}") for g in GENOTYPES), best["gt"].alias("gt"), quality.alias("gq"))
+    some = F.size("genotype_reads") > 0
+    share = F.round(F.least(F.col("w") / F.nullif(F.col("cov"), F.lit(0)), F.lit(1.0)), 4) if {"w", "cov"} <= set(svs.columns) else F.lit(None).cast("double")
+    return out.select(
+        *svs.columns, *((weights[g] / total).alias(f"p{g}") for g in GENOTYPES), F.when(some, best["gt"]).otherwise("./.").alias("gt"), F.when(some, quality).alias("gq"), share.alias("vaf")
+    )

@@ -1,6 +1,7 @@
 """The stages: smooth, search, place, cluster, fill and call, each from DataFrames to a DataFrame.
 
-Alignments: ord, qname, flag, chrom, pos, mapq, cigar (text), seq, qual (binary), hp, xf. Contigs: chrom, seq, length.
+Alignments: ord, qname, flag, chrom, pos, mapq, cigar (text), seq, qual (binary), hp, xf, and what of EXTRA a file has.
+Contigs: chrom, seq, length. What several later steps read is computed once and kept in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,11 +17,14 @@ from pyspark.sql.types import _parse_datatype_string
 from ..config import Config
 from ..functions import cigar
 from ..functions.sequence import normalise_bases
-from ..kernels import align, placement, poa, smoothing, splitting
-from ..operators import absent, chain, clips, folds, relational
+from ..kernels import align, placement, poa, smoothing, splitting, variants
+from ..operators import absent, chain, clips, folds, genotype, relational
+from ..session import keep
 
 SECONDARY = 4 | 256 | 2048
 CHUNK = 16_384
+#: Columns of alignments that smoothing passes on as they are.
+EXTRA = {"aux": "binary", "mate_chrom": "string", "mate_pos": "int", "tlen": "int"}
 
 
 def primary(flag: str = "flag") -> Column:
@@ -90,19 +94,35 @@ def smooth(alignments: DataFrame, contigs: DataFrame, config: Config | None = No
     config = config or Config()
     threshold = mismatch_threshold(alignments, contigs, config) if threshold is None else threshold
     kept = alignments.where(primary() & (F.col("mapq") >= config.min_mapq) & (F.length("seq") >= 2))
-    rows = with_reference(kept, contigs).crossJoin(F.broadcast(threshold))  # one row
+    return smooth_rows(with_reference(kept, contigs).crossJoin(F.broadcast(threshold)), config)  # one row
 
-    def smoothed(ord_: int, qname: str, flag: int, chrom: str, pos: int, mapq: int, text: str, seq: str, qual: bytes, hp: int, ref: str, most: float) -> Iterator[tuple]:
+
+def smooth_rows(rows: DataFrame, config: Config) -> DataFrame:
+    """Alignments that have their slice of the reference in ref, and threshold."""
+    extra = [c for c in EXTRA if c in rows.columns]
+
+    def smoothed(ord_: int, qname: str, flag: int, chrom: str, pos: int, mapq: int, text: str, seq: str, qual: bytes, hp: int, ref: str, most: float, *more: object) -> Iterator[tuple]:
         xf, seq, qual, ops = smoothing.smooth(parse_ops(text), seq, qual or b"", ref, most, config.min_indel_length, config.compat)
-        yield ord_, qname, flag, chrom, pos, mapq, ops_text(ops), seq, qual, hp, xf
+        yield ord_, qname, flag, chrom, pos, mapq, ops_text(ops), seq, qual, hp, xf, *more
+
+    columns = ["ord", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "hp", "ref", "threshold", *extra]
+    schema = "ord long, qname string, flag int, chrom string, pos int, mapq int, cigar string, seq string, qual binary, hp int, xf int"
+    return map_rows(rows, columns, smoothed, ", ".join([schema, *(f"{c} {EXTRA[c]}" for c in extra)]))
+
+
+def both_strands(contigs: DataFrame) -> DataFrame:
+    forward = contigs.select(normalise_bases(F.col("seq")).alias("seq"))
+    return forward.unionByName(forward.select(F.reverse(F.translate("seq", "ACGT", "TGCA")).alias("seq")))
 
-    columns = ["ord", "qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "hp", "ref", "threshold"]
-    return map_rows(rows, columns, smoothed, "ord long, qname string, flag int, chrom string, pos int, mapq int, cigar string, seq string, qual binary, hp int, xf int")
 
+def index(contigs: DataFrame, path: str, longest: int = absent.LONGEST) -> str:
+    """An index of both strands of the genome below path, for searches of reads of at most `longest` bases."""
+    return absent.build_index(both_strands(contigs), "seq", path, longest)
 
-def search(reads: DataFrame, contigs: DataFrame, config: Config | None = None) -> DataFrame:
+
+def search(reads: DataFrame, genome: DataFrame | str, config: Config | None = None) -> DataFrame:
     """qname, qs, l, htag: the shortest strings of each read that neither strand of the genome holds, merged where they
-    overlap. reads: ord, qname, seq and, for alignments, flag, xf and hp."""
+    overlap. reads: ord, qname, seq and, for alignments, flag, xf and hp. genome: contigs, or the path of an index."""
     config = config or Config()
     if "flag" in reads.columns:
         reads = reads.where(primary() & (F.length("seq") >= 100))
@@ -110,20 +130,26 @@ def search(reads: DataFrame, contigs: DataFrame, config: Config | None = None) -
             reads = reads.where(F.coalesce("xf", F.lit(0)) == 0)
     tag = F.coalesce(F.col("hp"), F.lit(0)).cast("int") if "hp" in reads.columns else F.lit(0)
     bases = reads.select("ord", "qname", tag.alias("htag"), normalise_bases(F.col("seq")).alias("seq"))
-    forward = contigs.select(normalise_bases(F.col("seq")).alias("seq"))
-    strands = forward.unionByName(forward.select(F.reverse(F.translate("seq", "ACGT", "TGCA")).alias("seq")))
-    found = absent.specific_strings(bases, strands, ["ord", "qname", "htag"], "seq", "seq")
+    keys = ["ord", "qname", "htag"]
+    if isinstance(genome, str):
+        found = absent.search_index(bases, genome, keys, "seq", config.relaxed)
+    else:
+        found = absent.specific_strings(bases, both_strands(genome), keys, "seq", "seq", relaxed=config.relaxed)
     if config.assemble:
-        found = absent.assemble(found, ["ord", "qname", "htag"])
+        found = absent.assemble(found, keys)
     return found.select("qname", F.col("qs").cast("int").alias("qs"), F.col("l").cast("int").alias("l"), "htag")
 
 
+def specific_alignments(alignments: DataFrame, strings: DataFrame, config: Config) -> DataFrame:
+    """Primary alignments of the least quality whose reads have strings, with these in order."""
+    mine = strings.groupBy("qname").agg(F.array_sort(F.collect_list(F.struct("qs", "l"))).alias("strings"))
+    return alignments.where(primary() & (F.col("mapq") >= config.min_mapq)).join(mine, "qname")
+
+
 def place(alignments: DataFrame, strings: DataFrame, contigs: DataFrame, config: Config | None = None) -> DataFrame:
     """Extended strings (chrom, qname, rs, re, qs, qe, htag) and, with clip true, clips (p in rs, l in re)."""
     config = config or Config()
-    mine = strings.groupBy("qname").agg(F.array_sort(F.collect_list(F.struct("qs", "l"))).alias("strings"))
-    kept = alignments.where(primary() & (F.col("mapq") >= config.min_mapq)).join(mine, "qname")
-    rows = with_reference(kept, contigs)
+    rows = with_reference(specific_alignments(alignments, strings, config), contigs)
 
     def placed(qname: str, chrom: str, pos: int, text: str, hp: int, found: list, ref: str) -> Iterator[tuple]:
         spans, left, right = placement.place(parse_ops(text), pos, [(x["qs"], x["l"]) for x in found], ref, config.flank, config.ksize, config.compat)
@@ -143,14 +169,12 @@ def cluster(extended: DataFrame, config: Config | None = None) -> DataFrame:
     distance = spans.agg(F.floor(F.coalesce(F.max(F.col("re") - F.col("rs")), F.lit(0)) * F.lit(1.1)).cast("long").alias("distance"))
     near = spans.crossJoin(F.broadcast(distance))  # one row
     # where more than the distance is free a new window begins in any case: parts of a contig are folded apart
-    w = Window.partitionBy("chrom").orderBy("rs", "re", "qname")
-    reach = F.max("re").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parted = near.withColumn("fresh", F.when(F.col("rs") - reach > F.col("distance"), 1).otherwise(0)).withColumn("part", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    parted = folds.cut_at_gaps(near, ["chrom"], "rs", "re", F.col("distance"))
     windows = folds.anchored_windows(parted, ["chrom", "part"], "rs", "re", ["rs", "re", "qname"], "distance")
     islands = relational.overlap_islands(windows, ["chrom", "part", "window"], "rs", "re", ["qname"])
     grouped = islands.groupBy("chrom", "part", "window", "island").agg(F.min("rs").alias("s"), F.max("re").alias("e"), F.collect_set("qname").alias("names"))
     heavy = grouped.where(F.size("names") >= config.min_cluster_weight)
-    return heavy.select(F.concat_ws(":", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), "part", "window").alias("cluster_id"), "chrom", "s", "e", "names")
+    return heavy.select(F.concat_ws(":", "chrom", F.col("s").cast("string"), F.col("e").cast("string"), F.col("part").cast("string"), F.col("window").cast("string")).alias("cluster_id"), "chrom", "s", "e", "names")
 
 
 def fill(clusters: DataFrame, alignments: DataFrame, config: Config | None = None, width: int = 1 << 16) -> DataFrame:
@@ -196,51 +220,42 @@ def call_clusters(filled: DataFrame, contigs: DataFrame, config: Config | None =
             names = ",".join(subreads[i]["name"] for i in members)
             tagged = config.use_haplotypes and any(t in (1, 2) for t in tags)
             covs = (cov0 + change.get("cov0", 0), cov1 + change.get("cov1", 0), cov2 + change.get("cov2", 0)) if tagged else (-1, -1, -1)
-            found = []
-            r, c = s, 0
-            for n, op in ops:
-                anchor = ref[r - pos - 1] if r > pos else ""
-                if op == "I":
-                    if n >= config.min_sv_length:
-                        found.append(("INS", r, r, anchor, anchor + consensus[c : c + n], n))
-                    c += n
-                elif op == "D":
-                    if n >= config.min_sv_length:
-                        found.append(("DEL", r, r + n, anchor + ref[r - pos : r - pos + n], anchor, n))
-                    r += n
-                else:
-                    r, c = r + n, c + n
-            for kind, at, end, a, b, n in found:
+            found = variants.variants_of(ops, s, ref, pos, consensus, config.min_sv_length)
+            for kind, at, a, b, n in found:
                 yield kind, chrom, at, at + len(a) - 1, a, b, n, len(members), cov, *covs, score, len(found), text, names, vector, cluster_id, sub_id
             yield "consensus", chrom, s, e, consensus, "", len(consensus), len(members), cov, *covs, score, len(found), text, names, vector, cluster_id, sub_id
 
     columns = ["cluster_id", "chrom", "s", "e", "pos", "cov", "cov0", "cov1", "cov2", "rvec", "subreads", "ref"]
-    out = map_rows(rows, columns, called, VARIANT)
+    out = keep(map_rows(rows, columns, called, VARIANT))
     return out.where("kind != 'consensus'"), out.where("kind = 'consensus'").select("cluster_id", "sub_id", "chrom", "s", "e", F.col("ref").alias("seq"), "cigar", "score")
 
 
 def call(alignments: DataFrame, strings: DataFrame, contigs: DataFrame, config: Config | None = None) -> dict[str, DataFrame]:
     """svs, consensus, clusters (and imprecise svs among svs with config.clipped)."""
     config = config or Config()
-    extended = place(alignments, strings, contigs, config)
-    filled = fill(cluster(extended, config), alignments, config)
-    variants, consensus = call_clusters(filled, contigs, config)
-    svs = chain.chain_filter(chain.dedup_variants(variants, config.compat), config.compat).withColumn("imprecise", F.lit(False))
+    extended = keep(place(alignments, strings, contigs, config))
+    filled = keep(fill(cluster(extended, config), alignments, config))
+    found, consensus = call_clusters(filled, contigs, config)
+    svs = chain.chain_filter(chain.dedup_variants(found, config.compat), config.compat, config.length_ratio).withColumn("imprecise", F.lit(False))
     if config.clipped:
         marks = extended.where("clip").select(F.col("qname").alias("name"), "chrom", F.col("rs").alias("p"), F.col("re").alias("l"), "starting")
-        vague = clips.imprecise_variants(marks, contigs, svs)
-        bases = contigs.select("chrom", F.col("seq").alias("contig"))
-        vague = vague.join(bases, "chrom").select(
-            "kind", "chrom", F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"), F.expr("substring(contig, s + 1, 1)").alias("ref"),
+        vague = keep(clips.imprecise_variants(marks, contigs, svs))
+        # the one base of each place, fetched like that of an alignment
+        at = vague.select("chrom", F.col("s").cast("int").alias("pos"), F.lit("1M").alias("cigar")).distinct().withColumn("place", F.concat_ws(":", "chrom", "pos"))
+        at = with_reference(at, contigs, "base", "place").select("chrom", F.col("pos").alias("s"), "base")
+        vague = vague.withColumn("s", F.col("s").cast("int")).join(at, ["chrom", "s"]).select(
+            "kind", "chrom", "s", F.col("e").cast("int").alias("e"), F.col("base").alias("ref"),
             F.concat(F.lit("<"), "kind", F.lit(">")).alias("alt"), F.col("l").cast("int").alias("l"), F.col("w").cast("int").alias("w"), F.lit(True).alias("imprecise"),
         )
         svs = svs.unionByName(vague, allowMissingColumns=True)
-    return {"svs": svs, "consensus": consensus, "clusters": filled}
+    if config.genotype:
+        svs = genotype.genotype_calls(svs)
+    return {"svs": keep(svs), "consensus": consensus, "clusters": filled}
 
 
-def run(alignments: DataFrame, contigs: DataFrame, config: Config | None = None) -> dict[str, DataFrame]:
+def run(alignments: DataFrame, contigs: DataFrame, config: Config | None = None, index: str | None = None) -> dict[str, DataFrame]:
     """Smooth, search and call; calls are always made on smoothed alignments, to which the strings' offsets refer."""
     config = config or Config()
-    smoothed = smooth(alignments, contigs, config)
-    strings = search(smoothed, contigs, config)
+    smoothed = keep(smooth(alignments, contigs, config))
+    strings = keep(search(smoothed, contigs if index is None else index, config))
     return {"smoothed": smoothed, "strings": strings, **call(smoothed, strings, contigs, config)}

@@ -21,7 +21,7 @@ from .files import listed, open_binary, resolve
 OPS = "MIDNSHP=X"
 SEQ = "=ACMGRSVTWYHKDBN"
 END_OF_FILE = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-SCHEMA = "ord long, qname string, flag int, chrom string, pos int, mapq int, cigar string, seq string, qual binary, hp int, xf int, aux binary"
+SCHEMA = "ord long, qname string, flag int, chrom string, pos int, mapq int, cigar string, seq string, qual binary, hp int, xf int, aux binary, mate_chrom string, mate_pos int, tlen int"
 _SIZES = {b"A": 1, b"c": 1, b"C": 1, b"s": 2, b"S": 2, b"i": 4, b"I": 4, b"f": 4}
 _KINDS = {b"c": "<b", b"C": "<B", b"s": "<h", b"S": "<H", b"i": "<i", b"I": "<I"}
 SPLIT_BYTES = 64 << 20
@@ -100,7 +100,7 @@ def aux_fields(data: bytes) -> Iterator[tuple[bytes, bytes, bytes]]:
 
 
 def decode_record(data: bytes, contigs: list[tuple[str, int]]) -> tuple:
-    tid, pos, l_name, mapq, _, n_ops, flag, l_seq = struct.unpack_from("<iiBBHHHi", data)
+    tid, pos, l_name, mapq, _, n_ops, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data)
     k = 32
     name = data[k : k + l_name - 1].decode()
     k += l_name
@@ -112,7 +112,7 @@ def decode_record(data: bytes, contigs: list[tuple[str, int]]) -> tuple:
     qual, aux = data[k : k + l_seq], data[k + l_seq :]
     tags = {tag: struct.unpack_from(_KINDS[kind], field, 3)[0] for tag, kind, field in aux_fields(aux) if tag in (b"HP", b"XF") and kind in _KINDS}
     cigar = "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops) or "*"
-    return name, flag, contigs[tid][0] if tid >= 0 else None, pos, mapq, cigar, seq, qual, tags.get(b"HP"), tags.get(b"XF"), aux
+    return name, flag, contigs[tid][0] if tid >= 0 else None, pos, mapq, cigar, seq, qual, tags.get(b"HP"), tags.get(b"XF"), aux, contigs[mate][0] if mate >= 0 else None, mate_pos, tlen
 
 
 def index_offsets(path: str) -> list[int]:
@@ -189,6 +189,11 @@ class BamSource(DataSource):
         return _BamReader(self.options["path"], int(self.options.get("splitBytes", SPLIT_BYTES)))
 
 
+def header_text(path: str) -> str:
+    """The header of a BAM file, as SAM writes it."""
+    return read_header(Blocks(next(p for p in listed(path) if not p.endswith(".bai"))))[0]
+
+
 def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     spark.dataSource.register(BamSource)
     return spark.read.format("bam").option("splitBytes", split_bytes).load(path)
@@ -202,7 +207,7 @@ def _bin(begin: int, end: int) -> int:
     return 0
 
 
-def encode_record(name: str, flag: int, tid: int, pos: int, mapq: int, cigar: str, seq: str, qual: bytes | None, hp: int | None, xf: int | None, aux: bytes | None) -> bytes:
+def encode_record(name: str, flag: int, tid: int, pos: int, mapq: int, cigar: str, seq: str, qual: bytes | None, hp: int | None, xf: int | None, aux: bytes | None = None, mate: int = -1, mate_pos: int | None = None, tlen: int | None = None) -> bytes:
     ops, n, span = [], 0, 0
     for c in cigar if cigar != "*" else "":
         if c.isdigit():
@@ -219,7 +224,7 @@ def encode_record(name: str, flag: int, tid: int, pos: int, mapq: int, cigar: st
         tail += tag + b"i" + struct.pack("<i", value) if value is not None else b""
     qual = qual if qual is not None and len(qual) == len(seq) else b"\xff" * len(seq)
     where = _bin(max(pos, 0), max(pos, 0) + max(span, 1))
-    body = struct.pack("<iiBBHHHiiii", tid, pos, len(name) + 1, mapq, where, len(ops), flag, len(seq), -1, -1, 0)
+    body = struct.pack("<iiBBHHHiiii", tid, pos, len(name) + 1, mapq, where, len(ops), flag, len(seq), mate, -1 if mate_pos is None else mate_pos, tlen or 0)
     body += name.encode() + b"\0" + struct.pack(f"<{len(ops)}I", *ops) + packed + qual + tail
     return struct.pack("<i", len(body)) + body
 
@@ -239,17 +244,17 @@ def write_bam(alignments: DataFrame, contigs: list[tuple[str, int]], path: str,
     blocks, a partition at a time. contigs: names and lengths of the header."""
     number = {name: k for k, (name, _) in enumerate(contigs)}
     names = ["qname", "flag", "chrom", "pos", "mapq", "cigar", "seq", "qual", "hp", "xf"]
-    extra = [c for c in ("aux",) if c in alignments.columns]
+    extra = [c if c in alignments.columns else None for c in ("aux", "mate_chrom", "mate_pos", "tlen")]
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                name, flag, chrom, pos, mapq, cigar, seq, qual, hp, xf, *aux = row
-                out.append(encode_record(name, flag, number.get(chrom, -1), pos, mapq, cigar, seq, qual, hp, xf, aux[0] if aux else None))
+                name, flag, chrom, pos, mapq, cigar, seq, qual, hp, xf, aux, mate, mate_pos, tlen = row
+                out.append(encode_record(name, flag, number.get(chrom, -1), pos, mapq, cigar, seq, qual, hp, xf, aux, number.get(mate, -1), mate_pos, tlen))
             yield pa.RecordBatch.from_arrays([pa.array([bgzf(b"".join(out))], pa.binary())], ["block"])
 
-    blocks = alignments.orderBy("ord").select(*(F.col(c) for c in names + extra)).mapInArrow(packed, "block binary")
+    blocks = alignments.orderBy("ord").select(*names, *(F.lit(None).alias(f"no_{k}") if c is None else c for k, c in enumerate(extra))).mapInArrow(packed, "block binary")
     head = text or "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in contigs)
     start = b"BAM\x01" + struct.pack("<i", len(head)) + head.encode() + struct.pack("<i", len(contigs))
     start += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k) for n, k in contigs)

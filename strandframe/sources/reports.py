@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .files import resolve
+
 # The header's declarations.
 VCF_HEAD = """##fileformat=VCFv4.2
 ##FILTER=<ID=PASS,Description="All filters passed">
@@ -25,6 +29,7 @@ VCF_HEAD = """##fileformat=VCFv4.2
 ##INFO=<ID=RVEC,Number=1,Type=String,Description="Support and haplotype of the reads at this locus">
 ##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">
 ##FORMAT=<ID=GQ,Number=1,Type=Integer,Description="Genotype quality">
+##FORMAT=<ID=VAF,Number=A,Type=Float,Description="Share of the reads that support the allele">
 #CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tDEFAULT"""
 
 
@@ -38,7 +43,9 @@ def vcf_lines(svs: DataFrame) -> DataFrame:
     length = F.when(F.col("kind") == "DEL", -F.col("l")).otherwise(F.col("l"))
     fields = [("VARTYPE", F.lit("SV")), ("SVTYPE", text("kind")), ("SVLEN", length.cast("string")), ("END", text("e")), ("WEIGHT", text("w")), ("COV", text("cov")), ("COV0", text("cov0")), ("COV1", text("cov1")), ("COV2", text("cov2")), ("AS", text("score")), ("NV", text("nv")), ("CIGAR", text("cigar")), ("READS", text("reads")), ("RVEC", text("rvec"))]
     info = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), v) for k, v in fields), F.when(F.col("imprecise"), F.lit("IMPRECISE")))
-    return svs.select("chrom", "s", F.concat_ws("\t", text("chrom"), text("s"), name, text("ref"), text("alt"), F.lit("."), F.lit("PASS"), info, F.lit("GT:GQ"), F.lit("0/1:100")).alias("value"))
+    genotyped = {"gt", "gq", "vaf"} <= set(svs.columns)
+    sample = [F.lit("GT:GQ:VAF"), F.concat_ws(":", text("gt"), text("gq"), text("vaf"))] if genotyped else [F.lit("GT:GQ"), F.lit("0/1:100")]
+    return svs.select("chrom", "s", F.concat_ws("\t", text("chrom"), text("s"), name, text("ref"), text("alt"), F.lit("."), F.lit("PASS"), info, *sample).alias("value"))
 
 
 def vcf_header(contigs: DataFrame) -> str:
@@ -47,12 +54,25 @@ def vcf_header(contigs: DataFrame) -> str:
     return VCF_HEAD.format(contigs="".join(f"##contig=<ID={r['chrom']},length={r['length']}>\n" for r in rows))
 
 
+def write_lines(rows: DataFrame, order: list[str], path: str, head: str = "") -> None:
+    """The values of rows in order, after head. A path that ends in a suffix names one file, which the driver writes line by
+    line as sorted parts come in, a part at a time; any other a folder of part files, the first of which begins with head."""
+    if re.search(r"\.\w+$", path):
+        system, inner = resolve(path)
+        with system.open_output_stream(inner) as f:
+            f.write((head + "\n").encode() if head else b"")
+            for row in rows.orderBy(*order).select("value").toLocalIterator():
+                f.write((row["value"] + "\n").encode())
+        return
+    body = rows.select(F.lit(1).alias("head_first"), *order, *([] if "value" in order else ["value"]))
+    if head:
+        first = rows.sparkSession.createDataFrame([(0, head)], "head_first int, value string")
+        body = first.unionByName(body, allowMissingColumns=True)
+    body.orderBy("head_first", *order).select("value").write.text(path)
+
+
 def write_vcf(svs: DataFrame, contigs: DataFrame, path: str) -> None:
-    """Part files in order; the first holds the header."""
-    spark = svs.sparkSession
-    head = spark.createDataFrame([(0, "", -1, vcf_header(contigs))], "k int, chrom string, s int, value string")
-    body = vcf_lines(svs).select(F.lit(1).alias("k"), "chrom", "s", "value")
-    head.unionByName(body).orderBy("k", "chrom", "s", "value").select("value").write.text(path)
+    write_lines(vcf_lines(svs), ["chrom", "s", "value"], path, vcf_header(contigs))
 
 
 def sam_lines(consensus: DataFrame) -> DataFrame:
@@ -63,8 +83,7 @@ def sam_lines(consensus: DataFrame) -> DataFrame:
 def write_sam(consensus: DataFrame, contigs: DataFrame, path: str) -> None:
     rows = contigs.select("chrom", "length").orderBy("contig_idx" if "contig_idx" in contigs.columns else "chrom").collect()
     head = "@HD\tVN:1.4\n" + "\n".join(f"@SQ\tSN:{r['chrom']}\tLN:{r['length']}" for r in rows)
-    first = consensus.sparkSession.createDataFrame([(0, "", -1, head)], "k int, chrom string, s int, value string")
-    first.unionByName(sam_lines(consensus).select(F.lit(1).alias("k"), "chrom", "s", "value")).orderBy("k", "chrom", "s", "value").select("value").write.text(path)
+    write_lines(sam_lines(consensus), ["chrom", "s", "value"], path, head)
 
 
 def cluster_lines(filled: DataFrame) -> DataFrame:
@@ -74,4 +93,4 @@ def cluster_lines(filled: DataFrame) -> DataFrame:
 
 
 def write_clusters(filled: DataFrame, path: str) -> None:
-    cluster_lines(filled).orderBy("chrom", "s", "value").select("value").write.text(path)
+    write_lines(cluster_lines(filled), ["chrom", "s", "value"], path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .reports import write_lines
+
 
 def parse_strings(lines: DataFrame) -> DataFrame:
     """lines: ord and value. A name that comes again starts that read's list anew: the last run of a name counts.
@@ -40,5 +42,4 @@ def string_lines(strings: DataFrame) -> DataFrame:
 
 
 def write_strings(strings: DataFrame, path: str) -> None:
-    lines = string_lines(strings)
-    lines.repartitionByRange("qname").sortWithinPartitions("qname", "k").select("value").write.text(path)
+    write_lines(string_lines(strings), ["qname", "k"], path)
