@@ -40,7 +40,9 @@ def cut_at_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, slack:
     reach = F.greatest(F.max(end).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.col("gap_carried"))
     rows = rows.withColumn("gap_begin", F.when(reach.isNull() | (F.col(start) - reach > slack), F.col(start)))
     rows = carried(rows, F.col("gap_begin"), "gap_before")
-    part = F.greatest(F.max("gap_begin").over(within.rowsBetween(Window.unboundedPreceding, 0)), F.col("gap_before"))
+    # by range, for rows of one start are in one part, whichever of them comes first
+    upto = Window.partitionBy(*dealt).orderBy(start).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    part = F.greatest(F.max("gap_begin").over(upto), F.col("gap_before"))
     return rows.select(*df.columns, part.alias(out))
 
 

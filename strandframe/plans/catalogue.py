@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import cigar, sequence
-from ..kernels import align, poa
-from ..operators import absent, chain, folds, genotype, relational
-from ..sources import strings_text
+from ..kernels import align, placement, poa, splitting, variants
+from ..operators import absent, chain, clips, folds, genotype, relational
+from ..sources import reports, strings_text
 from . import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,28 +76,50 @@ w as (select *, cast(coalesce(sum(case when op in ('M','I','S') then len else 0
 """
 
 
-def _order_cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _order_cigars(spark: SparkSession, sf_dir: str, letters: str = "MIDS") -> DataFrame:
     """An alignment for each order: lines are operations in order of line number and length."""
-    op = F.element_at(F.array(*map(F.lit, "MIDS")), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    op = F.element_at(F.array(*map(F.lit, letters)), (F.col("l_linenumber") % len(letters) + 1).cast("int"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("len"), op.alias("op")).alias("line"))
     ops = F.transform(F.array_sort(F.collect_list("line")), lambda x: F.struct(x["len"].alias("len"), x["op"].alias("op")))
     return lines.groupBy("l_orderkey").agg(ops.alias("ops"))
 
 
-@query(CIGAR_SQL + "select l_orderkey, op, len, q, r from w where op in ('I','D') and len >= 25")
+VARIANT_OPS = "(array['M','I','D'])[l_linenumber % 3 + 1]"
+
+
+@query(f"""
+with o as (select l_orderkey, cast(l_quantity as integer) as n, {VARIANT_OPS} as op, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity) as k from lineitem),
+w as (select *, cast(5 + coalesce(sum(case when op <> 'I' then n else 0 end) over p, 0) as integer) as r, cast(coalesce(sum(case when op <> 'D' then n else 0 end) over p, 0) as integer) as c
+  from o window p as (partition by l_orderkey order by k rows between unbounded preceding and 1 preceding)),
+t as (select *, substr(repeat('TGCA', 500), r - 4, 1) as anchor from w where op <> 'M' and n >= 25)
+select l_orderkey, case op when 'I' then 'INS' else 'DEL' end as kind, r as s, case op when 'I' then anchor else anchor || substr(repeat('TGCA', 500), r - 3, n) end as ref,
+  case op when 'I' then anchor || substr(repeat('ACGT', 500), c + 1, n) else anchor end as alt, n as l from t""")
 def cigar_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = _order_cigars(spark, sf_dir).select("l_orderkey", F.explode(cigar.with_offsets(F.col("ops"), F.lit(0))).alias("o"))
-    return placed.where("o.op in ('I', 'D') and o.len >= 25").select("l_orderkey", "o.op", "o.len", F.col("o.q").cast("long").alias("q"), F.col("o.r").cast("long").alias("r"))
+    """An alignment for each order, and what its gaps are as variants."""
+    ref, consensus = "TGCA" * 500, "ACGT" * 500
+
+    def found(order: int, ops: list) -> list[tuple]:
+        return [(order, *v) for v in variants.variants_of([(o["len"], o["op"]) for o in ops], 5, ref, 4, consensus, 25)]
 
+    return stages.map_rows(_order_cigars(spark, sf_dir, "MID"), ["l_orderkey", "ops"], found, "l_orderkey long, kind string, s int, ref string, alt string, l int")
 
-@query(CIGAR_SQL + """select l_orderkey, string_agg(len || op, '' order by k) as cigar, cast(sum((op in ('I','D'))::int) as integer) as gaps,
-  cast(sum(case when op in ('M','I','S') then len else 0 end) as integer) as read_length, cast(sum(case when op in ('M','D') then len else 0 end) as integer) as ref_length
-from w group by 1""")
+
+@query(CIGAR_SQL + """, m as (select *, count(*) over (partition by l_orderkey) as n, case when op = lag(op) over (partition by l_orderkey order by k) then 0 else 1 end as fresh from w),
+g as (select *, sum(fresh) over (partition by l_orderkey order by k) as run from m),
+merged as (select l_orderkey, string_agg(len || op, '' order by run) as merged from (select l_orderkey, run, any_value(op) as op, sum(len) as len from g group by 1, 2) group by 1),
+clipped as (select l_orderkey, coalesce(string_agg(case when k not in (1, n) then len || op when op = 'D' then null when op = 'I' then len || 'S' else len || op end, '' order by k), '*') as clipped from m group by 1)
+select l_orderkey, string_agg(len || op, '' order by k) as cigar, cast(sum((op in ('I','D'))::int) as integer) as gaps,
+  cast(sum(case when op in ('M','I','S') then len else 0 end) as integer) as read_length, cast(sum(case when op in ('M','D') then len else 0 end) as integer) as ref_length, any_value(merged) as merged, any_value(clipped) as clipped
+from w join merged using (l_orderkey) join clipped using (l_orderkey) group by 1""")
 def cigar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = _order_cigars(spark, sf_dir).select("l_orderkey", cigar.cigar_string(F.col("ops")).alias("cigar"))
     ops = cigar.decode_cigar(cigar.encode_cigar(cigar.parse_cigar(F.col("cigar"))))
     parsed = text.select("l_orderkey", "cigar", ops.alias("ops"))
-    return parsed.select("l_orderkey", "cigar", cigar.gap_count(F.col("ops")).alias("gaps"), cigar.read_length(F.col("ops")).alias("read_length"), cigar.reference_length(F.col("ops")).alias("ref_length"))
+    parsed = parsed.select("*", cigar.merge_runs("ops").alias("merged"))
+    return parsed.select(
+        "l_orderkey", "cigar", cigar.gap_count(F.col("ops")).alias("gaps"), cigar.read_length(F.col("ops")).alias("read_length"), cigar.reference_length(F.col("ops")).alias("ref_length"),
+        cigar.cigar_string(F.col("merged")).alias("merged"), cigar.cigar_string(cigar.fix_clips(F.col("ops"))).alias("clipped"),
+    )
 
 
 @query(CIGAR_SQL + """, e as (select l_orderkey, op, q, r, unnest(range(len)) as i from w)
@@ -114,16 +137,31 @@ def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with c as (select user_id, min(ts) as s, max(ts) as e, count(*) as n from events where event_type in ('purchase', 'error') group by 1 having count(*) >= 2)
-select c.user_id, cast(count(*) filter (x.event_id % 3 = 0) as bigint) as cov0, cast(count(*) filter (x.event_id % 3 = 1) as bigint) as cov1,
-  cast(count(*) filter (x.event_id % 3 = 2) as bigint) as cov2, cast(count(*) as bigint) as cov
-from c join events x on x.user_id = c.user_id and x.ts >= c.s and x.ts < c.e group by 1""")
+with r as (select event_id as ord, 'r' || event_id as qname, 'u' || (user_id % 20) as chrom, cast(event_id % 2000 as integer) as pos, substr(repeat('ACGTTGCA', 10), 1 + event_id % 8, 45) as seq, event_id % 3 as hp, event_type,
+  case when event_id % 17 = 0 then 256 else 0 end as flag, 10 + event_id % 40 as mapq from events),
+c as (select chrom, pos // 50 as b, cast((pos // 50) * 50 + 10 as integer) as s, cast((pos // 50) * 50 + 18 as integer) as e, list(distinct qname) as names from r where event_type = 'purchase' group by all),
+h as (select c.chrom || ':' || b as cluster_id, s, e, ord, pos, qname, hp, list_contains(names, qname) as mine, seq from c join r on r.chrom = c.chrom and r.pos <= e - 1 and s - 1 <= r.pos + 44 where flag & 2308 = 0 and mapq >= 20),
+p as (select *, case when mine and pos <= s and pos + 44 >= e then substr(seq, s - pos + 1, e - s + 1) end as sub from h)
+select cluster_id, s, e, cast(count(*) filter (hp = 0) as integer) as cov0, cast(count(*) filter (hp = 1) as integer) as cov1, cast(count(*) filter (hp = 2) as integer) as cov2, cast(count(*) as integer) as cov,
+  string_agg((case when mine then '1' else '0' end) || ':' || (case when hp = 0 then 3 else hp end), '-' order by pos, ord) as rvec, string_agg(qname || ':' || sub, ',' order by pos, ord) as subreads
+from p group by all having count(sub) >= 2""")
 def haplotype_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", micros().alias("at"), (F.col("event_id") % 3).alias("hap"), "event_type")
-    clusters = events.where("event_type in ('purchase', 'error')").groupBy("user_id").agg(F.min("at").alias("s"), (F.max("at") - 1).alias("e"), F.count("*").alias("n")).where("n >= 2")
-    reads = events.select("user_id", "hap", F.col("at").alias("rs"), F.col("at").alias("re"))
-    hits = relational.interval_join(clusters, reads, ["user_id"], ("s", "e"), ("rs", "re"), width=86_400_000_000 * 7)
-    return hits.groupBy("user_id").agg(*(F.count_if(F.col("hap") == h).alias(f"cov{h}") for h in range(3)), F.count("*").alias("cov"))
+    """Clusters filled: events are reads of 45 bases, clusters the purchases of a bin, which their alignments overlap."""
+    place = (F.col("event_id") % 2000).cast("int")
+    reads = table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ord"), F.concat(F.lit("r"), "event_id").alias("qname"), F.when(F.col("event_id") % 17 == 0, 256).otherwise(0).alias("flag"),
+        F.concat(F.lit("u"), F.col("user_id") % 20).alias("chrom"), place.alias("pos"), (10 + F.col("event_id") % 40).cast("int").alias("mapq"), F.lit("45M").alias("cigar"),
+        F.substring(F.repeat(F.lit("ACGTTGCA"), 10), (1 + F.col("event_id") % 8).cast("int"), F.lit(45)).alias("seq"), F.nullif((F.col("event_id") % 3).cast("int"), F.lit(0)).alias("hp"), "event_type",
+    )
+    b = F.floor(F.col("pos") / 50).cast("int")
+    clusters = reads.where("event_type = 'purchase'").groupBy("chrom", b.alias("b")).agg(F.collect_set("qname").alias("names"))
+    clusters = clusters.select(F.concat_ws(":", "chrom", F.col("b").cast("string")).alias("cluster_id"), "chrom", (F.col("b") * 50 + 10).alias("s"), (F.col("b") * 50 + 18).alias("e"), "names")
+    filled = stages.fill(clusters, reads, width=64)
+    return filled.select(
+        "cluster_id", "s", "e", "cov0", "cov1", "cov2", "cov", F.array_join(F.transform("rvec", lambda v: F.concat_ws(":", v["has_sfs"], v["hp"])), "-").alias("rvec"),
+        F.array_join(F.transform("subreads", lambda x: F.concat_ws(":", x["name"], x["seq"])), ",").alias("subreads"),
+    )
+
 
 
 def _overlaps(lines: DataFrame) -> DataFrame:
@@ -136,45 +174,107 @@ def _overlaps(lines: DataFrame) -> DataFrame:
 
 
 @query("""
-select l_suppkey, l_orderkey, l_linenumber, other_order, overlap from (
 select a.l_suppkey, a.l_orderkey, a.l_linenumber, b.l_orderkey as other_order, cast(least(a.l_partkey + cast(a.l_quantity as bigint), b.l_partkey + cast(b.l_quantity as bigint)) - greatest(a.l_partkey, b.l_partkey) as bigint) as overlap
 from lineitem a join lineitem b on a.l_suppkey = b.l_suppkey and a.l_partkey <= b.l_partkey + cast(b.l_quantity as bigint) and b.l_partkey <= a.l_partkey + cast(a.l_quantity as bigint)
-where a.l_returnflag = 'R' and b.l_returnflag = 'A' and a.l_quantity >= 45 and b.l_quantity >= 45)""")
+where a.l_returnflag = 'R' and b.l_returnflag = 'A'""")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of 45 and more only, as in its SQL; interval_overlap_all has every line."""
-    return _overlaps(table(spark, sf_dir, "lineitem").where("l_quantity >= 45"))
+    return _overlaps(table(spark, sf_dir, "lineitem"))
 
 
-@query("""
-select a.l_suppkey, a.l_orderkey, a.l_linenumber, b.l_orderkey as other_order, cast(least(a.l_partkey + cast(a.l_quantity as bigint), b.l_partkey + cast(b.l_quantity as bigint)) - greatest(a.l_partkey, b.l_partkey) as bigint) as overlap
-from lineitem a join lineitem b on a.l_suppkey = b.l_suppkey and a.l_partkey <= b.l_partkey + cast(b.l_quantity as bigint) and b.l_partkey <= a.l_partkey + cast(a.l_quantity as bigint)
-where a.l_returnflag = 'R' and b.l_returnflag = 'A'""")
-def interval_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlaps(table(spark, sf_dir, "lineitem"))
+GROUPS_SQL = """
+with recursive n as (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as integer) as n, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_partkey) as k from lineitem),
+f as (select l_orderkey, k, [{'total': n::bigint, 'count': 1::bigint}] as groups, 0::bigint as sub_id from n where k = 1
+  union all select n.l_orderkey, n.k,
+    case when g.at is null or g.at = 0 then list_append(groups, {'total': n.n::bigint, 'count': 1::bigint}) else list_transform(groups, lambda x, i: case when i = g.at then {'total': x.total + n.n, 'count': x.count + 1} else x end) end,
+    case when g.at is null or g.at = 0 then len(groups) else g.at - 1 end
+  from f join n on n.l_orderkey = f.l_orderkey and n.k = f.k + 1,
+    lateral (select list_position(list_transform(f.groups, lambda x: x.total // x.count = n.n or least(x.total // x.count, n.n)::double / greatest(x.total // x.count, n.n) >= 0.97), true) as at) g)
+"""
+
+
+@query(GROUPS_SQL + """, c as (select l_orderkey, sub_id, count(*) as reads, sum(n) as total from f join n using (l_orderkey, k) group by 1, 2)
+select l_orderkey, cast(rank - 1 as integer) as sub_id, cast(reads as integer) as reads, cast(total as integer) as total from (select *, row_number() over (partition by l_orderkey order by reads desc, sub_id) as rank from c) where rank <= 2""")
+def top2_subclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-clusters of an order's lines, taken for reads without haplotypes."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("n"), "l_partkey"))).alias("lines"))
+
+    def found(order: int, rows: list) -> list[tuple]:
+        sizes = [x["n"] for x in rows]
+        return [(order, k, len(members), sum(sizes[i] for i in members)) for k, (members, _) in enumerate(splitting.split(sizes, [0] * len(sizes)))]
+
+    return stages.map_rows(lines, ["l_orderkey", "lines"], found, "l_orderkey long, sub_id int, reads int, total int")
 
 
 @query("""
 select l_orderkey, l_suppkey, n, cast(rank as integer) as rank from (select *, row_number() over (partition by l_orderkey order by n desc, l_suppkey) as rank
   from (select l_orderkey, l_suppkey, count(*) as n from lineitem group by 1, 2)) where rank <= 2""")
-def top2_subclusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
     return relational.top_k(counts, ["l_orderkey"], [F.desc("n"), "l_suppkey"], 2)
 
 
+@query("""
+with k as (select item_id, cast(i - 1 as integer) as i, substr(text, cast(i as bigint), 7) as kmer from (select item_id, text, unnest(range(1, greatest(length(text) - 5, 1))) as i from benchmark) where length(text) >= 7),
+n as (select *, count(*) over (partition by item_id, kmer) as n from k)
+select item_id, coalesce(max(i) filter (n = 1), min(i)) as before, coalesce(min(i) filter (n = 1), max(i)) as after from n group by 1""")
+def unique_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of strings before and after which a whole text is placed without gaps."""
+
+    def found(item: int, text: str) -> list[tuple]:
+        pairs = [(i, i) for i in range(len(text))]
+        before, after = (placement.unique_anchor(pairs, 7, last, text, 0) for last in (True, False))
+        return [(item, before[1], after[1])] if before else []
+
+    return stages.map_rows(table(spark, sf_dir, "benchmark").where("text is not null"), ["item_id", "text"], found, "item_id long, before int, after int")
+
+
 @query("""
 with k as (select substr(text, cast(i as bigint), 7) as kmer from (select text, unnest(range(1, greatest(length(text) - 5, 1))) as i from benchmark))
 select kmer from k group by 1 having count(*) = 1""")
-def unique_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kmers_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "benchmark").select(F.explode(sequence.kmers(F.col("text"), 7)).alias("kmer"))
     return found.groupBy("kmer").agg(F.count("*").alias("n")).where("n = 1").select("kmer")
 
 
-@query("""
-select user_id, event_type, max(value) as value, cast(count(*) as bigint) as w, arg_min(event_id, (ts, event_id)) as first_id
-from events group by 1, 2 having count(*) >= 2""")
+def _clips(spark: SparkSession, sf_dir: str, users: int, place: F.Column) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("r"), F.col("event_id") % 5000).alias("name"), F.concat(F.lit("u"), F.col("user_id") % users).alias("chrom"), place.cast("int").alias("p"),
+        (F.col("event_id") % 1000).cast("int").alias("l"), (F.col("event_type") < "d").alias("starting"),
+    )
+
+
+def _contigs(spark: SparkSession, n: int) -> DataFrame:
+    return spark.range(n).select(F.concat(F.lit("u"), "id").alias("chrom"))
+
+
+CLIPS_SQL = """
+clips as (select 'r' || (event_id % 5000) as name, 'u' || (user_id % {users}) as chrom, cast({place} as integer) as p, cast(event_id % 1000 as integer) as l, event_type < 'd' as starting from events),
+once as (select * from clips qualify row_number() over (partition by name, starting order by chrom, p, l) = 1),
+combined as (select chrom, p, starting, max(l) as l, count(*) as w from once where cast(substr(chrom, 2) as integer) < {contigs} group by 1, 2, 3 having count(*) >= 2)"""
+
+
+@query("with " + CLIPS_SQL.format(users=50, place="event_id % 97", contigs=40) + " select * from combined")
 def clip_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    return events.groupBy("user_id", "event_type").agg(F.max("value").alias("value"), F.count("*").alias("w"), F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id")).where("w >= 2")
+    return clips.combine_clips(_clips(spark, sf_dir, 50, F.col("event_id") % 97), _contigs(spark, 40))
+
+
+IMPRECISE_PLACE = "((event_id * 37) % 61) * 700 + event_id % 2"
+
+
+@query("with recursive " + CLIPS_SQL.format(users=4, place=IMPRECISE_PLACE, contigs=3) + """,
+svs as (select 'u' || (p_partkey % 3) as chrom, cast(p_partkey * 450 as integer) as s, cast(p_partkey * 450 + p_size as integer) as e from part where p_size < 12),
+far as (select * from combined c where not exists (select 1 from svs v where v.chrom = c.chrom and c.p between v.s - 1000 and v.e + 1000)),
+n as (select *, row_number() over (partition by chrom, starting order by p) as k from far),
+f as (select chrom, starting, k, p as centre, p, l, w from n where k = 1
+  union all select n.chrom, n.starting, n.k, case when n.p - f.centre <= 1000 then f.centre else n.p end, n.p, n.l, n.w from f join n on n.chrom = f.chrom and n.starting = f.starting and n.k = f.k + 1),
+centres as (select chrom, starting, centre as p, max(l) as l, cast(sum(w) as bigint) as w from f group by 1, 2, 3),
+near as (select a.chrom, a.starting, a.p, a.l, a.w, b.p as next_p, b.l as next_l, b.w as next_w from centres a join centres b on b.chrom = a.chrom and b.starting <> a.starting and b.p > a.p
+  qualify row_number() over (partition by a.chrom, a.starting, a.p order by b.p) = 1)
+select chrom, case when w > next_w then p else next_p end as s, case when w > next_w then p else next_p end as e, 'INS' as kind, greatest(l, next_l) as l, greatest(w, next_w) as w from near where starting and next_p - p < 1000
+union all select chrom, p, next_p, 'DEL', next_p - p + 1, greatest(w, next_w) from near where not starting and next_p - p between 2000 and 50000 and greatest(w, next_w) >= 5""")
+def imprecise_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    svs = table(spark, sf_dir, "part").where("p_size < 12").select(F.concat(F.lit("u"), F.col("p_partkey") % 3).alias("chrom"), (F.col("p_partkey") * 450).cast("int").alias("s"), (F.col("p_partkey") * 450 + F.col("p_size")).cast("int").alias("e"))
+    return clips.imprecise_variants(_clips(spark, sf_dir, 4, F.expr(IMPRECISE_PLACE)), _contigs(spark, 3), svs)
 
 
 @query("""
@@ -193,33 +293,73 @@ def minimal_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["minimal_absent"] = minimal_absent
 
 
-@query()
+ABSENT_SQL = """
+with refs as (select '$' || string_agg(distinct p_name, '$') || '$' as r from part where p_size > 25),
+reads as (select p_partkey, p_name || ' ' || lower(p_type) as t from part),
+subs as (select p_partkey, t, b, unnest(range(1, length(t) - b + 1)) as l from (select p_partkey, t, unnest(range(length(t))) as b from reads)),
+gone as (select p_partkey, b, min(l) as l from subs, refs where not contains(r, substr(t, b + 1, l)) group by 1, 2),
+strings as (select p_partkey, b as qs, l from gone qualify coalesce(b + l < lead(b + l) over (partition by p_partkey order by b), true))
+"""
+
+
+def _part_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    reads = parts.select("p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")).alias("t"))
+    return absent.specific_strings(reads, parts.where("p_size > 25"), ["p_partkey"], "t", "p_name")
+
+
+@query(ABSENT_SQL + "select p_partkey, qs, l from strings")
+def minimal_absent_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _part_strings(spark, sf_dir)
+
+
+@query(ABSENT_SQL + """, b as (select *, max(qs + l) over (partition by p_partkey order by qs, l rows between unbounded preceding and 1 preceding) as reach from strings),
+i as (select *, sum(case when reach <= qs then 1 else 0 end) over (partition by p_partkey order by qs, l rows unbounded preceding) as island from b)
+select p_partkey, min(qs) as qs, max(qs + l) - min(qs) as l from i group by p_partkey, island""")
+def assembled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return absent.assemble(_part_strings(spark, sf_dir), ["p_partkey"])
+
+
 def assembled_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of whole documents, as minimal_absent: no SQL."""
     return absent.assemble(minimal_absent(spark, sf_dir), ["doc_id"])
 
 
-def _genotype_sql() -> str:
+QUERIES["assembled_strings"] = assembled_strings
+
+
+def _genotype_sql(logs: bool) -> str:
     def likelihood(g: str) -> str:
         parts = []
         for h, a in enumerate(g, 1):
             parts.append(f"(case when s = 1 then {genotype.READ_GIVEN_ALLELE[1, int(a)]}::double else {genotype.READ_GIVEN_ALLELE[0, int(a)]}::double end) * (case when hap = 3 then 0.5::double when hap = {h} then 0.95::double else 0.05::double end)")
         return " + ".join(parts)
 
-    sums = ", ".join(f"sum({likelihood(g)}) + ln({p}::double) as s{g}" for g, p in genotype.PRIOR.items())
+    sums = ", ".join(f"sum({f'ln({likelihood(g)})' if logs else likelihood(g)}) + ln({p}::double) as s{g}" for g, p in genotype.PRIOR.items())
     total = " + ".join(f"exp(s{g} - m)" for g in genotype.PRIOR)
     return f"""with r as (select user_id, (event_type = 'purchase')::int as s, case when event_id % 3 = 0 then 3 else event_id % 3 end as hap from events),
 t as (select user_id, {sums} from r group by 1), u as (select *, greatest({", ".join("s" + g for g in genotype.PRIOR)}) as m from t)
 select user_id, {", ".join(f"round(exp(s{g} - m) / ({total}), 6) as p{g}" for g in genotype.PRIOR)} from u"""
 
 
-@query(_genotype_sql())
-def genotype_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _posteriors(spark: SparkSession, sf_dir: str, logs: bool) -> DataFrame:
     hap = F.when(F.col("event_id") % 3 == 0, 3).otherwise(F.col("event_id") % 3)
     reads = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "purchase").cast("int").alias("support"), hap.alias("hap"))
-    found = genotype.posteriors(reads, ["user_id"], sum_of_logs=False)
+    found = genotype.posteriors(reads, ["user_id"], sum_of_logs=logs)
     return found.select("user_id", *(F.round(f"p{g}", 6).alias(f"p{g}") for g in genotype.GENOTYPES))
 
 
+@query(_genotype_sql(False))
+def genotype_posterior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the formula that sums likelihoods in place of their logs."""
+    return _posteriors(spark, sf_dir, False)
+
+
+@query(_genotype_sql(True))
+def genotype_posterior_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posteriors(spark, sf_dir, True)
+
+
 @query("""
 with recursive x as (select user_id, event_id, cast(floor(epoch_us(ts) / 60000000) as bigint) as s, cast(floor(epoch_us(ts) / 60000000) + floor(value * 10) as bigint) as e from events),
 d as (select cast(floor(1.1::double * max(e - s)) as bigint) as dist from x),
@@ -252,50 +392,66 @@ def accuracy_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with m as (select l_orderkey, sum(case when l_returnflag = 'R' then l_quantity else 0 end) as bad, sum(case when l_returnflag <> 'R' then l_quantity else 0 end) as good, max(l_quantity) as longest from lineitem group by 1),
-r as (select *, case when good = 0 and bad > 0 then 'infinity'::double when good = 0 then null else bad / good end as ratio from m),
-t as (select quantile_cont(ratio, 0.98) as threshold from r where ratio < 'infinity'::double)
-select l_orderkey, cast(case when ratio > threshold then 1 when longest <= 20 then 2 else 0 end as integer) as xf from r, t""")
+with o as (select l_orderkey, cast(l_quantity as integer) as n, l_returnflag = 'R' as bad, (array['M','I','D','S'])[l_linenumber % 4 + 1] as op, row_number() over (partition by l_orderkey order by l_linenumber, l_quantity, l_returnflag) as k from lineitem),
+m as (select l_orderkey, sum(case when op = 'M' and not bad then n else 0 end) as same, sum(case when op = 'M' and bad then n else 0 end) as other, bool_or(op = 'S' or (op in ('I', 'D') and n > 20)) as long,
+  string_agg(n || op, '' order by k) as cigar, coalesce(string_agg(repeat(case op when 'M' then 'A' when 'I' then 'G' else 'T' end, n), '' order by k) filter (op <> 'D'), '') as seq from o group by 1),
+r as (select *, case when same > 0 then other / same::double when other > 0 then 'infinity'::double end as ratio from m where length(seq) >= 2),
+t as (select quantile_cont(ratio, 0.5) as threshold from r where ratio is not null),
+x as (select *, case when ratio > threshold then 1 when not long then 2 else 0 end as xf from r, t),
+kept as (select l_orderkey, k, n, case when op = 'D' and n <= 20 then 'M' else op end as op, case when op = 'S' then 'T' when op = 'I' then 'G' when op = 'D' and n > 20 then '' when bad then 'C' else 'A' end as letter from o where not (op = 'I' and n <= 20)),
+runs as (select *, sum(fresh) over (partition by l_orderkey order by k) as run from (select *, case when op = 'M' and lag(op) over (partition by l_orderkey order by k) = 'M' then 0 else 1 end as fresh from kept)),
+merged as (select l_orderkey, string_agg(n || op, '' order by run) as cigar from (select l_orderkey, run, any_value(op) as op, sum(n) as n from runs group by 1, 2) group by 1),
+bases as (select l_orderkey, string_agg(repeat(letter, n), '' order by k) as seq from kept group by 1)
+select l_orderkey, cast(xf as integer) as xf, case when xf = 0 then coalesce(merged.cigar, '*') else x.cigar end as cigar, md5(case when xf = 0 then coalesce(bases.seq, '') else x.seq end) as seq
+from x left join merged using (l_orderkey) left join bases using (l_orderkey)""")
 def read_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quantity, bad = F.col("l_quantity"), F.col("l_returnflag") == "R"
-    sums = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(bad, quantity).otherwise(0)).alias("bad"), F.sum(F.when(~bad, quantity).otherwise(0)).alias("good"), F.max("l_quantity").alias("longest"))
-    ratio = F.when((F.col("good") == 0) & (F.col("bad") > 0), F.lit(float("inf"))).when(F.col("good") > 0, F.col("bad") / F.col("good"))
-    rated = sums.withColumn("ratio", ratio)
-    threshold = rated.where(F.col("ratio") < float("inf")).agg(F.percentile("ratio", 0.98).alias("threshold"))
-    xf = F.when(F.col("ratio") > F.col("threshold"), 1).when(F.col("longest") <= 20, 2).otherwise(0)
-    return rated.crossJoin(F.broadcast(threshold)).select("l_orderkey", xf.alias("xf"))
+    """Orders smoothed as alignments: lines are operations, those of returned lines mismatches."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("n"), "l_returnflag").alias("line"))
+    lines = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+    def written(value: Callable[[F.Column, F.Column], F.Column]) -> F.Column:
+        op = lambda x: F.element_at(F.array(*map(F.lit, "MIDS")), (x["l_linenumber"] % 4 + 1).cast("int"))
+        return F.array_join(F.transform("lines", lambda x: value(x, op(x))), "")
 
+    rows = lines.select(
+        F.col("l_orderkey").alias("ord"), F.col("l_orderkey").cast("string").alias("qname"), F.lit(0).alias("flag"), F.lit("c").alias("chrom"), F.lit(0).alias("pos"), F.lit(60).alias("mapq"),
+        written(lambda x, op: F.concat(x["n"].cast("string"), op)).alias("cigar"),
+        written(lambda x, op: F.repeat(F.when(op == "M", "A").when(op == "I", "G").when(op == "S", "T").otherwise(""), x["n"])).alias("seq"),
+        F.lit(None).cast("binary").alias("qual"), F.lit(None).cast("int").alias("hp"),
+        written(lambda x, op: F.repeat(F.when(~op.isin("M", "D"), "").when(x["l_returnflag"] == "R", "C").otherwise("A"), x["n"])).alias("ref"),
+    ).where(F.length("seq") >= 2)
+    config = Config(accuracy_quantile=0.5)
+    smoothed = stages.smooth_rows(rows.crossJoin(F.broadcast(stages.ratio_threshold(rows, config))), config)  # one row
+    return smoothed.select(F.col("ord").alias("l_orderkey"), "xf", "cigar", F.md5("seq").alias("seq"))
 
-def _returned(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
-    """Orders with a returned line."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return orders.select("o_orderkey", "o_custkey").join(lines, "o_orderkey", "left_semi")
 
 
 @query("""
-select o_orderkey, o_custkey from orders where o_orderkey & 12 = 0 and exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')""")
+select o_orderkey, cast(o_orderkey % 60 as integer) as mapq, strings from orders join (select l_orderkey, string_agg(l_linenumber || ':' || l_quantity::integer, ',' order by l_linenumber, l_quantity::integer) as strings
+  from lineitem where l_returnflag = 'R' group by 1) on l_orderkey = o_orderkey where (case o_orderstatus when 'F' then 4 when 'P' then 2048 else 0 end) & 2308 = 0 and o_orderkey % 60 >= 20""")
 def semi_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter of the orders, by key, as in its SQL; semi_scan_all has every order."""
-    return _returned(spark, sf_dir, table(spark, sf_dir, "orders").where(F.col("o_orderkey").bitwiseAND(12) == 0))
+    """Orders are alignments, flagged by their status; their returned lines are strings."""
+    flag = F.when(F.col("o_orderstatus") == "F", 4).when(F.col("o_orderstatus") == "P", 2048).otherwise(0)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qname"), flag.alias("flag"), (F.col("o_orderkey") % 60).cast("int").alias("mapq"))
+    strings = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("qname"), F.col("l_linenumber").alias("qs"), F.col("l_quantity").cast("int").alias("l"))
+    found = stages.specific_alignments(orders, strings, Config())
+    return found.select(F.col("qname").alias("o_orderkey"), "mapq", F.array_join(F.transform("strings", lambda x: F.concat_ws(":", x["qs"], x["l"])), ",").alias("strings"))
 
 
 @query("""
-select o_orderkey, o_custkey from orders where exists (select 1 from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R')""")
-def semi_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _returned(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
-@query(CIGAR_SQL + """, v as (select *, case op when 'I' then 'INS' else 'DEL' end as kind from w where op in ('I','D') and len >= 25)
-select 'order' || l_orderkey || chr(9) || r || chr(9) || kind || '_order' || l_orderkey || ':' || r || '-' || (r + case when kind = 'DEL' then len else 0 end) || '_' || len
-  || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'SVTYPE=' || kind || ';SVLEN=' || case when kind = 'DEL' then -len else len end as line from v""")
+select concat_ws(chr(9), 'c' || l_suppkey, l_partkey, kind || '_c' || l_suppkey || ':' || l_partkey || '-' || (l_partkey + n) || '_' || n, l_returnflag, l_linestatus, '.', 'PASS',
+  concat_ws(';', 'VARTYPE=SV', 'SVTYPE=' || kind, 'SVLEN=' || case kind when 'DEL' then -n else n end, 'END=' || (l_partkey + n), 'WEIGHT=' || l_linenumber, 'COV=' || (l_linenumber + 9), 'COV0=.', 'COV1=1', 'COV2=.', 'AS=' || -n, 'NV=1',
+    'CIGAR=' || n || 'M', 'READS=r' || l_orderkey, 'RVEC=1:3-0:1', case when l_linenumber = 7 then 'IMPRECISE' end), 'GT:GQ', '0/1:100') as line
+from (select *, cast(l_quantity as integer) as n, case l_linestatus when 'O' then 'INS' else 'DEL' end as kind from lineitem)""")
 def vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = cigar_variants(spark, sf_dir)
-    kind = F.when(F.col("op") == "I", "INS").otherwise("DEL")
-    chrom = F.concat(F.lit("order"), F.col("l_orderkey").cast("string"))
-    end = F.col("r") + F.when(F.col("op") == "D", F.col("len")).otherwise(0)
-    name = F.concat(kind, F.lit("_"), chrom, F.lit(":"), F.col("r"), F.lit("-"), end, F.lit("_"), F.col("len"))
-    info = F.concat(F.lit("SVTYPE="), kind, F.lit(";SVLEN="), F.when(F.col("op") == "D", -F.col("len")).otherwise(F.col("len")))
-    return v.select(F.concat_ws("\t", chrom, F.col("r").cast("string"), name, F.lit("."), F.lit("PASS"), info).alias("line"))
+    n = F.col("l_quantity").cast("int")
+    svs = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linestatus") == "O", "INS").otherwise("DEL").alias("kind"), F.concat(F.lit("c"), "l_suppkey").alias("chrom"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + n).alias("e"),
+        F.col("l_returnflag").alias("ref"), F.col("l_linestatus").alias("alt"), n.alias("l"), F.col("l_linenumber").alias("w"), (F.col("l_linenumber") + 9).alias("cov"), F.lit(None).cast("int").alias("cov0"),
+        F.lit(1).alias("cov1"), F.lit(None).cast("int").alias("cov2"), (-n).alias("score"), F.lit(1).alias("nv"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.concat(F.lit("r"), "l_orderkey").alias("reads"),
+        F.lit("1:3-0:1").alias("rvec"), (F.col("l_linenumber") == 7).alias("imprecise"),
+    )
+    return reports.vcf_lines(svs).select(F.col("value").alias("line"))
 
 
 @query("select item_id, translate(regexp_replace(reverse(text), '[^ACGTacgt]', 'N', 'g'), 'ACGTacgt', 'TGCATGCA') as seq from benchmark")
@@ -303,38 +459,45 @@ def reverse_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", sequence.reverse_complement(F.col("text")).alias("seq"))
 
 
-@query("""
-with n as (select doc_id, row_number() over (partition by doc_id order by k) as i, word as w from (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) as k from documents)),
-m as (select doc_id, w, i, lag(i) over (partition by doc_id, w order by i) as before from n)
-select doc_id, cast(count(*) as bigint) as words, cast(count(before) as bigint) as repeats, cast(min(i - before) as integer) as nearest from m group by 1""")
-def nearest_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
-    before = F.lag("i").over(Window.partitionBy("doc_id", "w").orderBy("i"))
-    return words.withColumn("before", before).groupBy("doc_id").agg(F.count("*").alias("words"), F.count("before").alias("repeats"), F.min(F.col("i") - F.col("before")).alias("nearest"))
-
-
-@query()
+@query(GROUPS_SQL + "select l_orderkey, l_linenumber, l_partkey, n, sub_id from f join n using (l_orderkey, k)")
 def greedy_length_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("n"))
     return folds.greedy_length_split(lines, ["l_orderkey"], "n", ["l_linenumber", "n", "l_partkey"])
 
 
-@query()
+@query("""
+with recursive n as (select l_orderkey, l_partkey as s, l_partkey + cast(l_quantity as bigint) * 20 as e, row_number() over (partition by l_orderkey order by l_partkey, l_quantity) as k from lineitem),
+f as (select l_orderkey, k, [{'s': s, 'e': e, 'n': 1::bigint}] as groups from n where k = 1
+  union all select n.l_orderkey, n.k, case when g.at is null or g.at = 0 then list_append(groups, {'s': n.s, 'e': n.e, 'n': 1::bigint})
+    else list_transform(groups, lambda x, i: case when i = g.at then {'s': least(x.s, n.s), 'e': greatest(x.e, n.e), 'n': x.n + 1} else x end) end
+  from f join n on n.l_orderkey = f.l_orderkey and n.k = f.k + 1, lateral (select list_position(list_transform(f.groups, lambda x: n.s <= x.e and x.s <= n.e), true) as at) g),
+w as (select l_orderkey, unnest(groups) as g from f qualify k = max(k) over (partition by l_orderkey))
+select l_orderkey, g.s as s, g.e as e, g.n as n_merged from w""")
 def merge_into_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("long") * 20).alias("e"))
     return folds.merge_into_first(spans, ["l_orderkey"], "s", "e", ["s", "e"])
 
 
-@query()
+@query("""
+with recursive n as (select l_suppkey, l_partkey * 10 as p, cast(l_quantity as bigint) as l, row_number() over (partition by l_suppkey order by l_partkey, l_quantity) as k from lineitem),
+f as (select l_suppkey, k, p as centre, p, l from n where k = 1
+  union all select n.l_suppkey, n.k, case when n.p - f.centre <= 1000 then f.centre else n.p end, n.p, n.l from f join n on n.l_suppkey = f.l_suppkey and n.k = f.k + 1)
+select l_suppkey, centre as p, count(*) as w, max(l) as l from f group by 1, 2""")
 def proximity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     clips = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") * 10).alias("p"), F.lit(1).cast("long").alias("w"), F.col("l_quantity").cast("long").alias("l"))
     return folds.proximity_clusters(clips, ["l_suppkey"], "p", "w", "l", ["p", "l"])
 
 
-@query()
+@query("""
+with recursive t as (select p_partkey, p_name as a, p_type || ' ' || p_brand as b from part),
+f as (select p_partkey, 0 as i, list_transform(range(length(b) + 1), lambda j: 0) as h from t
+  union all select f.p_partkey, f.i + 1, list_transform(range(len(x.g)), lambda j: list_max(x.g[1:j + 1]))
+  from f join t on t.p_partkey = f.p_partkey and f.i < length(t.a),
+    lateral (select list_transform(range(length(t.b) + 1), lambda j: case when j > 0 and substr(t.a, f.i + 1, 1) = substr(t.b, j, 1) then f.h[j] + 1 else f.h[j + 1] end) as g) x)
+select t.p_partkey, round(200.0::double * h[-1] / (length(a) + length(b)), 6) as ratio from f join t on t.p_partkey = f.p_partkey and f.i = length(t.a)""")
 def string_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(Window.partitionBy(F.col("item_id") % 16).orderBy("item_id")).alias("other"))
-    return items.select("item_id", sequence.string_ratio("text", "other").alias("ratio"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat_ws(" ", "p_type", "p_brand").alias("other"))
+    return parts.select("p_partkey", F.round(sequence.string_ratio("p_name", "other"), 6).alias("ratio"))
 
 
 @query("""
@@ -345,23 +508,41 @@ def dedup_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.dedup_variants(table(spark, sf_dir, "lineitem").select(*(F.col(c).alias(n) for c, n in names.items())))
 
 
-@query()
+@query("""
+with recursive v as (select l_suppkey as chrom, case l_linestatus when 'O' then 'INS' else 'DEL' end as kind, l_partkey * 10 as s, l_partkey * 10 + 1 as e, cast(l_quantity as integer) as l, l_linenumber as w,
+  repeat(l_returnflag, cast(l_quantity as integer)) as ref, l_orderkey as cluster_id, l_linenumber as sub_id from lineitem),
+d as (select * from v qualify row_number() over (partition by chrom, s, ref order by w desc, cluster_id, sub_id, kind) = 1),
+n as (select *, row_number() over (partition by chrom order by s, e, kind, ref, w, cluster_id, sub_id) as k, count(*) over (partition by chrom) as size from d),
+f as (select chrom, k, size, {'k': k, 'kind': kind, 's': s, 'e': e, 'l': l, 'w': w, 'ref': ref} as before, null::bigint as told from n where k = 1
+  union all select n.chrom, n.k, n.size, case when before is not null and x.alike then null else {'k': n.k, 'kind': n.kind, 's': n.s, 'e': n.e, 'l': n.l, 'w': n.w, 'ref': n.ref} end,
+    case when before is null then null when x.alike and before.w < n.w then n.k else before.k end
+  from f join n on n.chrom = f.chrom and n.k = f.k + 1, lateral (select coalesce(f.before.kind = n.kind and n.s - f.before.e < 2 * n.l and n.s - f.before.s < 100 and least(f.before.w, n.w) >= 0.9::double * greatest(f.before.w, n.w)
+    and least(f.before.l, n.l) >= 0.97::double * greatest(f.before.l, n.l) and case when f.before.ref[1] = n.ref[1] then 200.0::double * least(f.before.l, n.l) / (f.before.l + n.l) else 0 end > 70, false) as alike) x),
+kept as (select chrom, told as k from f where told is not null union all select chrom, before.k from f where k = size and before is not null)
+select n.chrom, kind, s, e, l, w, ref, ref as alt, cluster_id, sub_id from n join kept using (chrom, k)""")
 def chain_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     allele = F.repeat(F.col("l_returnflag"), F.col("l_quantity").cast("int"))
-    variants = lines.select(F.col("l_suppkey").alias("chrom"), F.when(F.col("l_linestatus") == "O", "INS").otherwise("DEL").alias("kind"), (F.col("l_partkey") * 10).alias("s"), (F.col("l_partkey") * 10 + 1).alias("e"), F.col("l_quantity").cast("int").alias("l"), F.col("l_linenumber").alias("w"), allele.alias("ref"), allele.alias("alt"), F.col("l_orderkey").alias("cluster_id"), F.col("l_linenumber").alias("sub_id"))
-    return chain.chain_filter(chain.dedup_variants(variants))
+    rows = lines.select(F.col("l_suppkey").alias("chrom"), F.when(F.col("l_linestatus") == "O", "INS").otherwise("DEL").alias("kind"), (F.col("l_partkey") * 10).alias("s"), (F.col("l_partkey") * 10 + 1).alias("e"), F.col("l_quantity").cast("int").alias("l"), F.col("l_linenumber").alias("w"), allele.alias("ref"), allele.alias("alt"), F.col("l_orderkey").alias("cluster_id"), F.col("l_linenumber").alias("sub_id"))
+    # kind last: rows that are equal but for it are told apart
+    return chain.chain_filter(relational.full_dedup(rows, ["chrom", "s", "ref", "alt"], [F.desc("w"), "cluster_id", "sub_id", "kind"]))
 
 
 @query("""
-with x as (select l_suppkey, l_orderkey, l_partkey as s, l_partkey + cast(l_quantity as bigint) as e from lineitem),
-b as (select *, max(e) over (partition by l_suppkey order by s, e rows between unbounded preceding and 1 preceding) as reach from x),
-i as (select *, sum(case when s > reach then 1 else 0 end) over (partition by l_suppkey order by s, e rows unbounded preceding) as island from b)
-select l_suppkey, min(s) as s, max(e) as e, cast(count(distinct l_orderkey) as bigint) as reads from i group by l_suppkey, island having count(distinct l_orderkey) >= 2""")
+with recursive x as (select 's' || l_suppkey as chrom, 'o' || l_orderkey as qname, cast(l_partkey as integer) as rs, cast(l_partkey + l_quantity as integer) as re from lineitem),
+d as (select cast(floor(1.1::double * max(re - rs)) as bigint) as dist from x),
+n as (select x.*, dist, row_number() over (partition by chrom order by rs, re, qname) as k from x, d),
+f as (select chrom, k, qname, rs, re, re as anchor, 0::bigint as win from n where k = 1
+  union all select n.chrom, n.k, n.qname, n.rs, n.re, case when n.rs - f.anchor > n.dist then n.re else f.anchor end, f.win + (n.rs - f.anchor > n.dist)::bigint from f join n on n.chrom = f.chrom and n.k = f.k + 1),
+b as (select *, max(re) over (partition by chrom, win order by rs, re, qname rows between unbounded preceding and 1 preceding) as reach from f),
+i as (select *, sum(case when rs > reach then 1 else 0 end) over (partition by chrom, win order by rs, re, qname rows unbounded preceding) as island from b)
+select chrom, min(rs) as s, max(re) as e, cast(count(distinct qname) as integer) as reads from i group by chrom, win, island having count(distinct qname) >= 2""")
 def cluster_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", F.col("l_partkey").alias("s"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("e"))
-    islands = relational.overlap_islands(spans, ["l_suppkey"], "s", "e")
-    return islands.groupBy("l_suppkey", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.countDistinct("l_orderkey").alias("reads")).where("reads >= 2").drop("island")
+    spans = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("chrom"), F.concat(F.lit("o"), "l_orderkey").alias("qname"), F.col("l_partkey").cast("int").alias("rs"),
+        (F.col("l_partkey") + F.col("l_quantity")).cast("int").alias("re"), F.lit(False).alias("clip"),
+    )
+    return stages.cluster(spans, Config()).select("chrom", "s", "e", F.size("names").alias("reads"))
 
 
 @query("""
@@ -382,22 +563,34 @@ def parsed_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strings_text.parse_strings(lines)
 
 
-@query("select item_id, text as consensus from benchmark")
+@query("""
+with c as (select item_id, i, j, case when i % 5 = j then '#' else substr(text, cast(i as bigint) + 1, 1) end as c from (select item_id, text, unnest(range(length(text))) as i from benchmark where length(text) > 0), range(5) r(j)),
+n as (select item_id, i, c, count(*) as n from c group by all)
+select item_id, string_agg(c, '' order by i) as consensus from (select * from n qualify row_number() over (partition by item_id, i order by n desc) = 1) group by 1""")
 def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two copies of a text and one that lacks some letters."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return stages.map_rows(items, ["item_id", "text"], lambda i, t: [(i, poa.consensus([t, t.replace("th", ""), t]))], "item_id long, consensus string")
+    """Of five copies of a text, in each of which every fifth letter is another: the letters of most, which none has."""
+
+    def found(item: int, text: str) -> list[tuple]:
+        return [(item, poa.consensus(["".join("#" if i % 5 == j else c for i, c in enumerate(text)) for j in range(5)]))]
 
+    return stages.map_rows(table(spark, sf_dir, "benchmark").where(F.length("text") > 0), ["item_id", "text"], found, "item_id long, consensus string")
 
-@query("select item_id, 'D' as op, cast(10 as integer) as len from benchmark where length(text) > 40")
+
+@query("""
+with recursive t as (select p_partkey, upper(p_name) as a, upper(p_type || p_name) as b from part),
+c as (select list_transform(range(64), lambda k: case when k = 0 then 0 else least(16 + 2 * k, 41 + k) end) as cost),
+f as (select p_partkey, 0 as i, [list_transform(range(length(b) + 1), lambda j: -cost[j + 1])] as rows from t, c
+  union all select f.p_partkey, f.i + 1, list_append(f.rows, list_transform(range(len(x.best)), lambda j: list_max(list_transform(range(j + 1), lambda k: x.best[k + 1] - cost[j - k + 1]))))
+  from f join t on t.p_partkey = f.p_partkey and f.i < length(t.a), c,
+    lateral (select list_transform(range(length(t.b) + 1), lambda j: greatest(list_max(list_transform(range(f.i + 1), lambda k: f.rows[k + 1][j + 1] - cost[f.i + 1 - k + 1])),
+      case when j = 0 then -1000000 else f.rows[f.i + 1][j] + case when 'N' in (substr(t.a, f.i + 1, 1), substr(t.b, j, 1)) then 0 when substr(t.a, f.i + 1, 1) = substr(t.b, j, 1) then 1 else -9 end end)) as best) x)
+select t.p_partkey, cast(f.rows[-1][-1] as integer) as score, cast(length(a) as integer) as ref_length, cast(length(b) as integer) as query_length from f join t on t.p_partkey = f.p_partkey and f.i = length(t.a)""")
 def global_align(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text, its letters taken for bases, against itself without ten from the middle: the one gap."""
-    items = table(spark, sf_dir, "benchmark").where(F.length("text") > 40).select("item_id", "text")
+    """Names of parts against longer ones: the score, by dynamic programming in SQL, and what the operations cover."""
 
-    def gaps(item: int, text: str) -> list[tuple]:
-        seq = "".join("ACGT"[ord(c) % 4] for c in text)
-        middle = len(seq) // 2
-        _, ops = align.global_align(seq, seq[:middle] + seq[middle + 10 :])
-        return [(item, op, n) for n, op in ops if op != "M"]
+    def found(part: int, a: str, b: str) -> list[tuple]:
+        score, ops = align.global_align(a, b)
+        return [(part, score, sum(n for n, op in ops if op in "MD"), sum(n for n, op in ops if op in "MI"))]
 
-    return stages.map_rows(items, ["item_id", "text"], gaps, "item_id long, op string, len int")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_type", "p_name").alias("other"))
+    return stages.map_rows(rows, ["p_partkey", "p_name", "other"], found, "p_partkey long, score int, ref_length int, query_length int")

@@ -79,14 +79,18 @@ def with_reference(alignments: DataFrame, contigs: DataFrame, out: str = "ref",
 def mismatch_threshold(alignments: DataFrame, contigs: DataFrame, config: Config) -> DataFrame:
     """One row: the quantile of mismatch ratios over the first reads in file order."""
     first = alignments.where(primary() & (F.col("mapq") >= config.min_mapq) & (F.length("seq") >= 2)).join(contigs.select("chrom"), "chrom", "left_semi")
-    first = with_reference(first.orderBy("ord").limit(config.accuracy_reads), contigs)
+    return ratio_threshold(with_reference(first.orderBy("ord").limit(config.accuracy_reads), contigs), config)
+
+
+def ratio_threshold(rows: DataFrame, config: Config) -> DataFrame:
+    """One row: the quantile of mismatch ratios of alignments that have their slice of the reference in ref."""
 
     def counted(text: str, seq: str, ref: str) -> Iterator[tuple]:
         same, other = smoothing.mismatch_counts(parse_ops(text), seq, ref)
         if same or other:
             yield (other / same if same else float("inf"),)
 
-    return map_rows(first, ["cigar", "seq", "ref"], counted, "ratio double").agg(F.percentile("ratio", config.accuracy_quantile).alias("threshold"))
+    return map_rows(rows, ["cigar", "seq", "ref"], counted, "ratio double").agg(F.percentile("ratio", config.accuracy_quantile).alias("threshold"))
 
 
 def smooth(alignments: DataFrame, contigs: DataFrame, config: Config | None = None, threshold: DataFrame | None = None) -> DataFrame:
