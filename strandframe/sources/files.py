@@ -57,10 +57,26 @@ def open_binary(path: str) -> io.BufferedReader:
     return io.BufferedReader(_Native(system.open_input_file(inner)), 1 << 20)
 
 
-def lines(path: str) -> Iterator[str]:
-    """Lines without their ends; gzip is seen by its first bytes."""
+def is_packed(path: str) -> bool:
+    with open_binary(path) as f:
+        return f.peek(2)[:2] == b"\x1f\x8b"
+
+
+def size_of(path: str) -> int:
+    system, inner = resolve(path)
+    return system.get_file_info(inner).size
+
+
+def lines(path: str, begin: int = 0) -> Iterator[tuple[int, str]]:
+    """Lines without their ends, and where each begins, from the first that begins at or after a place of the file. gzip
+    is seen by its first bytes; its places are those of the unpacked text, from 0."""
+    packed = is_packed(path)
     with open_binary(path) as f:
-        packed = f.peek(2)[:2] == b"\x1f\x8b"
         stream = gzip.open(f, "rb") if packed else f
+        at = 0
+        if begin:
+            stream.seek(begin - 1)
+            at = begin - 1 + len(stream.readline())
         for line in stream:
-            yield line.rstrip(b"\r\n").decode("utf-8", "replace")
+            yield at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+            at += len(line)

@@ -150,6 +150,22 @@ def test_sequences(spark, tmp_path):
     assert [tuple(r)[1:] for r in sequences.read_fastx(spark, str(tmp_path / "b.fq.gz")).orderBy("ord").collect()] == [("r1", "ACG", "@II"), ("r2", "AC", "r2")]
 
 
+@pytest.mark.parametrize("split", [61, 1 << 20])
+def test_sequences_in_parts(spark, tmp_path, split):
+    """Entries are the same however a file is cut; qualities may begin with any sign."""
+    rnd = random.Random(16)
+    reads = [(f"r{i}", bases(rnd, n := rnd.randint(1, 30)), "".join(rnd.choice("@+>I!") for _ in range(n))) for i in range(40)]
+    (tmp_path / "a.fq").write_text("".join(f"@{n} x\n{s}\n+{n if i % 2 else ''}\n{q}\n" for i, (n, s, q) in enumerate(reads)))
+    got = sequences.read_fastx(spark, str(tmp_path / "a.fq"), split)
+    assert [tuple(r)[1:] for r in got.orderBy("ord").collect()] == reads
+    (tmp_path / "a.fa").write_text("".join(f">{n}\n{s[:10]}\n{s[10:]}\n" for n, s, _ in reads))
+    contigs = sequences.read_fasta(spark, str(tmp_path / "a.fa"), split)
+    assert [tuple(r)[1:] for r in contigs.orderBy("contig_idx").collect()] == [(n, s, len(s)) for n, s, _ in reads]
+    assert split > 1000 or contigs.rdd.getNumPartitions() > 1 and got.rdd.getNumPartitions() > 1
+    (tmp_path / "b.fq").write_text("@a\nAC\nGT\n+\n@@\nII\n@b\nA\n+\nI\n")  # over more lines: one part
+    assert [tuple(r)[1:] for r in sequences.read_fastx(spark, str(tmp_path / "b.fq"), split).orderBy("ord").collect()] == [("a", "ACGT", "@@II"), ("b", "A", "I")]
+
+
 def test_strings_text(spark):
     lines = ["r1\t120\t35\t1\t", "*\t900\t52\t1\t", "r2\t44\t61\t0\t", "r1\t5\t6\t2\t", "*  7 8"]
     got = strings_text.parse_strings(spark.createDataFrame(list(enumerate(lines)), "ord long, value string"))
