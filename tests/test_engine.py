@@ -202,6 +202,11 @@ def test_consensus_kernel():
         base = bases(rnd, 300)
         noisy = ["".join((rnd.choice("ACGT") if rnd.random() < 0.03 else c) for c in base if rnd.random() > 0.01) for _ in range(12)]
         assert poa.consensus(noisy) == base
+    # reads that part and join again: insertions, deletions and both alleles of a place
+    for _ in range(4):
+        base = bases(rnd, 200)
+        most = base[:80] + bases(rnd, 40) + base[80:150] + base[170:]
+        assert poa.consensus([base, most, most, most[:60] + "A" + most[60:], most]) == most
     assert poa.consensus([]) == "" and poa.consensus(["ACGT"]) == "ACGT"
 
 
