@@ -573,7 +573,7 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     def found(item: int, text: str) -> list[tuple]:
         return [(item, poa.consensus(["".join("#" if i % 5 == j else c for i, c in enumerate(text)) for j in range(5)]))]
 
-    items = table(spark, sf_dir, "benchmark").where(F.length("text") > 0).repartition("item_id")  # dear rows of a small file
+    items = table(spark, sf_dir, "benchmark").where(F.length("text") > 0).repartition(spark.sparkContext.defaultParallelism, "item_id")  # dear rows of a small file
     return stages.map_rows(items, ["item_id", "text"], found, "item_id long, consensus string")
 
 
@@ -593,5 +593,5 @@ def global_align(spark: SparkSession, sf_dir: str) -> DataFrame:
         score, ops = align.global_align(a, b)
         return [(part, score, sum(n for n, op in ops if op in "MD"), sum(n for n, op in ops if op in "MI"))]
 
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_type", "p_name").alias("other")).repartition("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_type", "p_name").alias("other")).repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     return stages.map_rows(rows, ["p_partkey", "p_name", "other"], found, "p_partkey long, score int, ref_length int, query_length int")

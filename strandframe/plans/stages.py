@@ -213,6 +213,8 @@ def call_clusters(filled: DataFrame, contigs: DataFrame, config: Config | None =
     # the cluster's stretch of the reference with the base before it, fetched like that of an alignment
     spans = filled.select("*", F.greatest(F.col("s") - 1, F.lit(0)).alias("pos"), F.concat((F.col("e") - F.greatest(F.col("s") - 1, F.lit(0)) + 1).cast("string"), F.lit("M")).alias("cigar"))
     rows = with_reference(spans, contigs, key="cluster_id")
+    # consensus is dear for the bytes it reads: by a number that is given, partitions are not joined by their size
+    rows = rows.repartition(int(filled.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cluster_id")
 
     def called(cluster_id: str, chrom: str, s: int, e: int, pos: int, cov: int, cov0: int, cov1: int, cov2: int, rvec: list, subreads: list, ref: str) -> Iterator[tuple]:
         lengths, tags = [len(x["seq"]) for x in subreads], [x["hp"] for x in subreads]
