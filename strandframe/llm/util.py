@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: For sessions that run in one process on one machine and configure no folder, such as tests and benches.
-LOCAL_CHECKPOINTS = "/tmp/strandframe-checkpoints"
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir. A session of one process may do without and gets a folder of
-    its own; on a cluster that would lie on one machine's disk, so there it is an error."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        context.setCheckpointDir(root or LOCAL_CHECKPOINTS)
-    return root or LOCAL_CHECKPOINTS
+from ..session import keep as cut
+from ..session import shared_root
 
+__all__ = ["cut", "fresh", "map_texts", "shared_folder", "shared_root", "utf8"]
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -39,12 +26,6 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through a reliable checkpoint in the shared folder."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """The strings of a column as UTF-8 bytes, without decoding them."""
     return column.cast(pa.binary()).to_pylist()
