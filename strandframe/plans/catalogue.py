@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from ..config import Config
 from ..functions import cigar, sequence
 from ..kernels import align, placement, poa, splitting, variants
 from ..operators import absent, chain, clips, folds, genotype, relational
-from ..sources import reports, strings_text
+from ..session import shared_root
+from ..sources import bam, reports, sequences, strings_text
 from . import stages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -595,3 +597,78 @@ def global_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.concat("p_type", "p_name").alias("other")).repartition(spark.sparkContext.defaultParallelism, "p_partkey")
     return stages.map_rows(rows, ["p_partkey", "p_name", "other"], found, "p_partkey long, score int, ref_length int, query_length int")
+
+
+@query(CIGAR_SQL + """, ops as (select *, r + 10 as place, count(*) over (partition by l_orderkey) as n_ops from w),
+x as (select l_orderkey, cast(sum(case when op <> 'D' then len else 0 end) as bigint) as size, 10 + sum(case when op in ('M', 'D') then len else 0 end) as end_pos, max(len) filter (k = 1 and op = 'S') as left_clip, max(len) filter (k = n_ops and op = 'S') as right_clip from ops group by 1),
+s as (select *, (l_orderkey * 7) % size as s, (l_orderkey * 7) % size + l_orderkey % 30 as e from x where size > 0),
+p as (select s.l_orderkey, max(least(q + len - 1, s - 1)) filter (op = 'M' and q < s) as qa, max(place + least(q + len - 1, s - 1) - q) filter (op = 'M' and q < s) as ra,
+  min(greatest(q, e + 1)) filter (op = 'M' and q + len - 1 > e) as qb, min(place + greatest(q, e + 1) - q) filter (op = 'M' and q + len - 1 > e) as rb, any_value(end_pos) as end_pos, any_value(left_clip) as left_clip, any_value(right_clip) as right_clip from s join ops using (l_orderkey) group by 1)
+select l_orderkey::varchar as qname, cast(ra as integer) as rs, cast(rb + 7 as integer) as re, cast(qa as integer) as qs, cast(qb + 7 as integer) as qe, false as clip, null::boolean as starting from p where qa is not null and qb is not null and ra <= rb + 7
+union all select l_orderkey::varchar, 10, cast(left_clip as integer), null, null, true, true from p where qa is null and qb is not null and left_clip is not null
+union all select l_orderkey::varchar, cast(end_pos as integer), cast(right_clip as integer), null, null, true, false from p where qa is not null and qb is null and right_clip is not null""")
+def placed_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A string of each order's read placed by its alignment, without flanks, so that the fallbacks decide."""
+    ops = _order_cigars(spark, sf_dir).select(F.col("l_orderkey").alias("ord"), F.col("l_orderkey").cast("string").alias("qname"), "ops")
+    reads = ops.select("ord", "qname", cigar.cigar_string(F.col("ops")).alias("cigar"), cigar.read_length(F.col("ops")).alias("size")).where("size > 0")
+    alignments = reads.select("ord", "qname", F.lit(0).alias("flag"), F.lit("c").alias("chrom"), F.lit(10).alias("pos"), F.lit(60).alias("mapq"), "cigar", F.lit(None).cast("int").alias("hp"))
+    strings = reads.select("qname", ((F.col("ord") * 7) % F.col("size")).cast("int").alias("qs"), (F.col("ord") % 30 + 1).cast("int").alias("l"))
+    contigs = spark.range(1).select(F.lit("c").alias("chrom"), F.repeat(F.lit("ACGT"), 1000).alias("seq"))
+    return stages.place(alignments, strings, contigs, Config(flank=0)).drop("chrom", "htag")
+
+
+@query("""
+select concat_ws(chr(9), 's' || l_suppkey || ':' || (l_partkey + 1) || '-' || (l_partkey + l_linenumber + 1), '0', 's' || l_suppkey, l_partkey + 1, '60', l_linenumber || 'M', '*', '0', '0', repeat(l_returnflag, l_linenumber), '*') as line from lineitem""")
+def sam_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), "l_suppkey").alias("chrom"), F.col("l_partkey").alias("s"), (F.col("l_partkey") + n).alias("e"), F.concat(n.cast("string"), F.lit("M")).alias("cigar"), F.repeat("l_returnflag", n).alias("seq")
+    )
+    return reports.sam_lines(rows).select(F.col("value").alias("line"))
+
+
+@query("""
+select concat_ws(chr(9), 's' || l_suppkey || ':' || (min(l_partkey) + 1) || '-' || (max(l_partkey) + 1), count(*), string_agg('r' || l_orderkey || ':' || l_returnflag, chr(9) order by l_orderkey, l_returnflag)) as line from lineitem group by l_suppkey""")
+def cluster_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = F.transform(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_returnflag"))), lambda x: F.struct(F.concat(F.lit("r"), x["l_orderkey"]).alias("name"), x["l_returnflag"].alias("seq")))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_partkey").alias("s"), F.max("l_partkey").alias("e"), members.alias("subreads"))
+    return reports.cluster_lines(rows.withColumn("chrom", F.concat(F.lit("s"), "l_suppkey"))).select(F.col("value").alias("line"))
+
+
+READS_SQL = "select 'r' || event_id as qname, 'u' || (user_id % 4) as chrom, cast(event_id % 3000 as integer) as pos, substr(repeat('ACGTN', 30), cast(1 + event_id % 5 as bigint), cast(1 + event_id % 90 as bigint)) as seq"
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (1 + F.col("event_id") % 90).cast("int")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("ord"), F.concat(F.lit("r"), "event_id").alias("qname"), F.concat(F.lit("u"), F.col("user_id") % 4).alias("chrom"), (F.col("event_id") % 3000).cast("int").alias("pos"),
+        F.substring(F.repeat(F.lit("ACGTN"), 30), (1 + F.col("event_id") % 5).cast("int"), n).alias("seq"), n.alias("n"), "event_id", "event_type",
+    )
+
+
+@query(READS_SQL + """, cast(event_id % 4096 as integer) as flag, cast(event_id % 61 as integer) as mapq, (1 + event_id % 90) || (case when event_id % 2 = 0 then 'M' else 'S' end) as cigar,
+  repeat('I', cast(1 + event_id % 90 as integer)) as qual, case when event_id % 3 > 0 then cast(event_id % 3 as integer) end as hp, cast(event_id % 4 as integer) as xf, row_number() over (order by event_id) as number from events""")
+def bam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as BAM and read again, numbered in the order of the file."""
+    reads = _reads(spark, sf_dir).withColumns({
+        "flag": (F.col("event_id") % 4096).cast("int"), "mapq": (F.col("event_id") % 61).cast("int"), "cigar": F.concat(F.col("n").cast("string"), F.when(F.col("event_id") % 2 == 0, "M").otherwise("S")),
+        "qual": F.repeat(F.lit("I"), F.col("n")).cast("binary"), "hp": F.nullif((F.col("event_id") % 3).cast("int"), F.lit(0)), "xf": (F.col("event_id") % 4).cast("int"),
+    })
+    path = f"{shared_root(spark)}/reads-{uuid.uuid4().hex}.bam"
+    bam.write_bam(reads, [(f"u{k}", 4000) for k in range(4)], path.removeprefix("file://"))
+    back = bam.read_bam(spark, path.removeprefix("file://"))
+    number = F.row_number().over(Window.orderBy("ord"))  # of a table that was written in one file
+    return back.select("qname", "chrom", "pos", "seq", "flag", "mapq", "cigar", F.col("qual").cast("string").alias("qual"), "hp", "xf", number.cast("long").alias("number"))
+
+
+@query(READS_SQL.replace("'u' || (user_id % 4) as chrom, cast(event_id % 3000 as integer) as pos, ", "") + """, case when event_type = 'click' then repeat('#', cast(1 + event_id % 90 as integer)) else 'r' || event_id end as qual from events""")
+def fastx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads written as FASTQ, or FASTA for those without qualities, and read again in parts."""
+    reads = _reads(spark, sf_dir)
+    fastq = F.concat(F.lit("@"), "qname", F.lit(" x\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("#"), F.col("n")))
+    fasta = F.concat(F.lit(">"), "qname", F.lit("\n"), "seq")
+    path = f"{shared_root(spark)}/reads-{uuid.uuid4().hex}"
+    for rows, line, kind in ((reads.where("event_type = 'click'"), fastq, "fq"), (reads.where("event_type <> 'click'"), fasta, "fa")):
+        rows.select(line.alias("value")).write.text(f"{path}/{kind}")
+    found = [sequences.read_fastx(spark, f"{path}/{kind}", split_bytes=4096).select("qname", "seq", "qual") for kind in ("fq", "fa")]
+    return found[0].unionByName(found[1])
