@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 
 from .util import map_texts
 
-#: Bounds of what a worker process keeps: whole pieces, and steps of the transducer.
+#: Bounds of what a worker process keeps: whole pieces, steps of the transducer, and classes of a bit for each token.
 MAX_PIECES = 200_000
 MAX_STEPS = 300_000
+MAX_CLASSES = 12_000
 BLOCK_PIECES = 1 << 16
 #: Above every rank.
 NEVER = 1 << 60
@@ -77,6 +78,10 @@ class Vocabulary:
             self.own[node] = i
         self._halve(ranks)
         self.partners: dict[int, tuple[np.ndarray, ...]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops the classes. States name them, so these must go too."""
         self.class_of: dict[int, int] = {}
         self.classes: dict[tuple, int] = {(): FREE}
         #: By class, a bit for each token that may follow.
@@ -285,6 +290,9 @@ class Transducer:
         return step
 
     def encode(self, piece: bytes) -> list[int]:
+        if len(self.words.allowed) > MAX_CLASSES:
+            self.words.forget()
+            self.reset()
         out: list[int] = []
         state, steps, output = 0, self.steps.get, self.output
         for byte in piece:
