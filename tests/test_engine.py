@@ -210,6 +210,18 @@ def test_consensus_kernel():
     assert poa.consensus([]) == "" and poa.consensus(["ACGT"]) == "ACGT"
 
 
+def test_consensus_of_repeats():
+    """Copies of one length with changed letters: the letters of most, also where a shifted copy scores better."""
+    rnd = random.Random(5)
+    for text in ("a", "ab" * 30, "a" * 60, "Was the the the shonly", "thshshsh. On of", "#a" * 10, "\u6f22\u5b57" * 9, bases(rnd, 20) + "CAG" * 20 + bases(rnd, 20)):
+        copies = ["".join("#" if i % 5 == j else c for i, c in enumerate(text)) for j in range(5)]
+        assert poa.consensus(copies) == text
+    # without a letter of most at each place, or with other lengths, the graph decides alone
+    assert poa.agreed(["ACGT", "ACCT", "ACTT", "ACAT"]) is None and poa.agreed(["AC", "AC", "ACG"]) is None and poa.agreed(["AC", "AC", "AG"]) == "AC"
+    base = bases(rnd, 60) + "CAG" * 10 + bases(rnd, 60)
+    assert poa.consensus([base[:70] + base[73:], base, base, base[:20] + "T" + base[21:], base]) == base
+
+
 def test_lcs_and_matching():
     rnd = random.Random(4)
     for _ in range(200):
