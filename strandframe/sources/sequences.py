@@ -1,7 +1,8 @@
 """FASTA and FASTQ as Spark data sources.
 
 A plain file that begins with FASTA, or with FASTQ of four lines an entry, is read in parts of about SPLIT_BYTES: a part
-holds the entries that begin in it. Packed files, and FASTQ over more lines, are one part and read as a stream.
+holds the entries that begin in it. Packed files, and FASTQ over more lines, are one part and read as a stream. Where a
+smaller size is asked for, parts are larger than that if there would be more than about PARTS of them, up to SPLIT_BYTES.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .files import is_packed, lines, listed, size_of
 
 SPLIT_BYTES = 64 << 20
+PARTS = 256
 
 
 def entries(source: Iterable[tuple[int, str]], end: int | None = None) -> Iterator[tuple[int, str, str, str | None]]:
@@ -89,9 +91,11 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for number, path in enumerate(listed(self.path)):
-            kind = kind_of(path) if self.split else ""
-            bounds = range(0, size_of(path), self.split) if kind else range(1)
+        files = [(path, kind_of(path) if self.split else "", size_of(path)) for path in listed(self.path)]
+        # a part is a task, which costs far more than to read a few kB
+        split = max(self.split, min(SPLIT_BYTES, sum(size for _, kind, size in files if kind) // PARTS))
+        for number, (path, kind, size) in enumerate(files):
+            bounds = range(0, size, split) if kind else range(1)
             out += [_Part(path, number, kind, a, b) for a, b in zip(bounds, [*bounds[1:], None])]
         return out or [_Part("", 0, "", 0, 0)]
 

@@ -166,6 +166,25 @@ def test_sequences_in_parts(spark, tmp_path, split):
     assert [tuple(r)[1:] for r in sequences.read_fastx(spark, str(tmp_path / "b.fq"), split).orderBy("ord").collect()] == [("a", "ACGT", "@@II"), ("b", "A", "I")]
 
 
+@pytest.mark.parametrize("kind", "@>")
+def test_sequences_in_few_parts(tmp_path, kind):
+    """However small the parts asked for, tasks are bounded, and each entry is in one of them."""
+    rnd = random.Random(17)
+    reads = [(f"r{i}", bases(rnd, n := rnd.randint(1, 90)), "".join(rnd.choice("@+>I!") for _ in range(n))) for i in range(9000)]
+    (tmp_path / "reads").mkdir()
+    for k in range(3):
+        text = "".join(f"@{n} x\n{s}\n+\n{q}\n" if kind == "@" else f">{n}\n{s}\n" for n, s, q in reads[k * 3000 : k * 3000 + 3000])
+        (tmp_path / "reads" / f"{k}.txt").write_text(text)
+    reader = sequences._Reader(str(tmp_path / "reads"), False, 128)
+    parts = reader.partitions()
+    assert sequences.PARTS // 2 < len(parts) <= sequences.PARTS + 2 * 3
+    got = [row for part in parts for row in reader.read(part)]
+    assert [row[1:] for row in got] == [(n, s, q if kind == "@" else n) for n, s, q in reads]
+    assert [row[0] for row in got] == sorted({row[0] for row in got})
+    # parts of a size that doesn't make too many stay as they are
+    assert [p.begin for p in sequences._Reader(str(tmp_path / "reads" / "0.txt"), False, 50_000).partitions()][:2] == [0, 50_000]
+
+
 def test_strings_text(spark):
     lines = ["r1\t120\t35\t1\t", "*\t900\t52\t1\t", "r2\t44\t61\t0\t", "r1\t5\t6\t2\t", "*  7 8"]
     got = strings_text.parse_strings(spark.createDataFrame(list(enumerate(lines)), "ord long, value string"))
