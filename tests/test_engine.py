@@ -241,6 +241,18 @@ def test_consensus_of_repeats():
     assert poa.consensus([base[:70] + base[73:], base, base, base[:20] + "T" + base[21:], base]) == base
 
 
+def test_consensus_by_the_graph_alone():
+    """Without repeats the graph itself gives the letters of most."""
+    rnd = random.Random(6)
+    for _ in range(4):
+        text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150))
+        copies = ["".join("#" if i % 5 == j else c for i, c in enumerate(text)) for j in range(5)]
+        graph = poa.Graph()
+        for k, copy in enumerate(copies):
+            graph.fuse(copy, graph.align(copy) if k else [(None, i) for i in range(len(copy))])
+        assert graph.consensus() == text
+
+
 def test_lcs_and_matching():
     rnd = random.Random(4)
     for _ in range(200):
